@@ -13,8 +13,11 @@ def _flag(condition):
     return F.when(condition, 1).otherwise(0)
 
 
-def sessions(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per (session, item); repeated pairs keep the best score and label."""
+def sessions(spark: SparkSession, sf: str, term: bool = False) -> DataFrame:
+    """One row per (session, item); repeated pairs keep the best score and label.
+
+    ``term`` adds the session's search term, its first item name.
+    """
     line = table(spark, sf, "lineitem")
     rows = line.groupBy(F.col("l_orderkey").alias("session_id"), F.col("l_partkey").alias("content_id")).agg(
         F.max(_flag((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"))).alias("ordered"),
@@ -22,16 +25,19 @@ def sessions(spark: SparkSession, sf: str) -> DataFrame:
         F.max("l_discount").alias("p_order"),
         F.max("l_tax").alias("p_click"),
     )
-    part = table(spark, sf, "part").select(F.col("p_partkey").alias("content_id"), "p_name")
-    terms = rows.select("session_id", "content_id").join(part, "content_id").groupBy("session_id").agg(
-        F.lower(F.min("p_name")).alias("search_term")
-    )
     orders = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("session_id"), F.col("o_custkey").alias("user_id"), floor_hour("o_orderdate").alias("ts_hour")
     )
-    return rows.join(orders, "session_id").join(terms, "session_id").select(
-        "session_id", "content_id", "user_id", "ts_hour", "search_term", "ordered", "clicked", "p_order", "p_click"
+    joined = rows.join(orders, "session_id").select(
+        "session_id", "content_id", "user_id", "ts_hour", "ordered", "clicked", "p_order", "p_click"
+    )
+    if not term:
+        return joined
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    terms = line.select(F.col("l_orderkey").alias("session_id"), "l_partkey").join(part, "l_partkey").groupBy("session_id").agg(
+        F.lower(F.min("p_name")).alias("search_term")
     )
+    return joined.join(terms, "session_id")
 
 
 def content_metadata(spark: SparkSession, sf: str) -> DataFrame:
