@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sessionrank.functions.hashing import md5_bucket
 from sessionrank.functions.rates import finite_or, num
 from sessionrank.operators.ordering import exact_quantile
 
@@ -125,9 +126,10 @@ def whole_sessions(df: DataFrame, rows: int, session: str = "session_id", per: i
 def hash_bucket_split(df: DataFrame, keys: Sequence[str], percent: int, seed: int = 42):
     """Repeatable split: (rows in the first ``percent`` of 100 hash buckets, the rest).
 
-    Hash buckets are independent of the label, so each label is split in the same proportion.
+    Buckets come from the MD5 of seed and keys, so every engine and every run agrees; they
+    are independent of the label, so each label is split in the same proportion.
     """
-    bucket = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(100))
+    bucket = md5_bucket(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]), 100)
     return df.where(bucket < percent), df.where(bucket >= percent)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sessionrank.functions.hashing import feature_value, md5_bucket
 from sessionrank.operators.ordering import HOT_ROWS, running_within
 
 # Label weights of the training target.
@@ -95,6 +96,11 @@ def scale_standard(train: DataFrame, df: DataFrame, columns: Sequence[str]) -> D
     return with_stats.withColumns({c: z(c) for c in columns}).drop("_s")
 
 
+def wide_buckets(columns: Sequence[str], buckets: int) -> Column:
+    """Bucket numbers of the row's feature=value pairs, one per column: the wide part in sparse form."""
+    return F.array(*[md5_bucket(feature_value(c, F.col(c)), buckets) for c in columns])
+
+
 def model_types(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Booleans to int, numbers to double without nulls; other columns stay."""
     out = []

@@ -237,7 +237,8 @@ def agg_time_span(spark, sf):
     ])
 
 
-@query("date_detect_time_column")
+@query("date_detect_time_column", """select 'events' as table_name, 'ts' as time_column, count(ts) as n_values from events union all select 'orders', 'o_orderdate', count(o_orderdate) from orders
+    union all select 'lineitem', 'l_shipdate', count(l_shipdate) from lineitem union all select 'customer', 'c_custkey', count(c_custkey) from customer""")
 def date_detect_time_column(spark, sf):
     """The time column each table would be split by."""
     names = ["events", "orders", "lineitem", "customer"]

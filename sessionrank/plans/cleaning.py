@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sessionrank.operators import clean
-from sessionrank.plans.registry import query, views
+from sessionrank.plans.registry import md5_bucket_sql, query, views
 from sessionrank.sources import fixtures as fx
 from sessionrank.sources.tables import table
 
@@ -141,7 +141,8 @@ def sample_whole_sessions(spark, sf):
     return clean.whole_sessions(fx.sessions(spark, sf).select("session_id", "content_id"), 5000)
 
 
-@query("sample_stratified")
+@query("sample_stratified", f"""{views("sessions")} select session_id, content_id, ordered, clicked from sessions
+    where {md5_bucket_sql("'42|' || session_id || '|' || content_id", 100)} < 20""")
 def sample_stratified(spark, sf):
     """A fifth of the rows by hash, in each label the same share."""
     sample, _ = clean.hash_bucket_split(fx.sessions(spark, sf).select("session_id", "content_id", "ordered", "clicked"), ["session_id", "content_id"], 20)

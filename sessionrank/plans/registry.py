@@ -106,3 +106,10 @@ VIEWS = {
 def views(*names: str) -> str:
     """A WITH clause of fixture views, to be followed by a select or more views."""
     return "with " + ",\n".join(f"{n} as ({VIEWS[n]})" for n in names)
+
+
+def md5_bucket_sql(text: str, buckets: int) -> str:
+    """The MD5 digest of a text as a number modulo ``buckets``, for the check engine."""
+    powers = ["79228162514264337593543950336", "18446744073709551616", "4294967296", "1"]
+    terms = [f"('0x' || substr(md5({text}), {8 * i + 1}, 8))::uhugeint * {p}::uhugeint" for i, p in enumerate(powers)]
+    return f"cast(({' + '.join(terms)}) % {buckets}::uhugeint as bigint)"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sessionrank.functions import affinity, dates, hashing, rates, text
 from sessionrank.operators import encode, fitted, profile
-from sessionrank.plans.registry import query, views
+from sessionrank.plans.registry import md5_bucket_sql, query, views
 from sessionrank.sources import fixtures as fx
 from sessionrank.sources.tables import table
 
@@ -221,9 +221,7 @@ def array_dedupe_ordered(spark, sf):
     return rows.select("doc_id", F.size("w").cast("bigint").alias("n_distinct"), F.try_element_at("w", F.lit(1)).alias("first_token"), F.array_join("w", " ").alias("kept"))
 
 
-@query("hash_md5_bucket", """select p_partkey, cast((('0x' || substr(h, 1, 8))::uhugeint * 79228162514264337593543950336::uhugeint + ('0x' || substr(h, 9, 8))::uhugeint * 18446744073709551616::uhugeint
-    + ('0x' || substr(h, 17, 8))::uhugeint * 4294967296::uhugeint + ('0x' || substr(h, 25, 8))::uhugeint) % 50000::uhugeint as bigint) as bucket
-    from (select p_partkey, md5('p_brand=' || p_brand) as h from part)""")
+@query("hash_md5_bucket", f"""select p_partkey, {md5_bucket_sql("'p_brand=' || p_brand", 50_000)} as bucket from part""")
 def hash_md5_bucket(spark, sf):
     return table(spark, sf, "part").select("p_partkey", hashing.md5_bucket(hashing.feature_value("p_brand", F.col("p_brand")), 50_000).alias("bucket"))
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # The source tables of the ranking data set and where they lie below a data root.
 SOURCE_PATHS = {
@@ -78,30 +78,24 @@ def read_slice(spark: SparkSession, path: str, columns: Sequence[str], condition
 
 def read_ranked_csv(spark: SparkSession, path: str, key_type: str = "string") -> DataFrame:
     """A (session_id, prediction) CSV file with a header."""
-    schema = T.StructType().add("session_id", key_type).add("prediction", "string")
-    return spark.read.option("header", True).schema(schema).csv(path)
+    return spark.read.option("header", True).schema(f"session_id {key_type}, prediction string").csv(path)
 
 
 def load_all(spark: SparkSession, paths: Mapping[str, str], register: bool = False) -> dict[str, DataFrame]:
     """Every table that exists, by name; absent ones are left out."""
-    fs_found = {n: p for n, p in paths.items() if exists(spark, p)}
-    frames = {n: spark.read.parquet(p) for n, p in fs_found.items()}
+    frames = {}
+    for name, path in paths.items():
+        try:
+            frames[name] = spark.read.parquet(path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
     if register:
         for name, df in frames.items():
             df.createOrReplaceTempView(name)
     return frames
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether Spark can list the path; asked through the reader, so any file system works."""
-    try:
-        return spark.read.format("binaryFile").load(path).schema is not None
-    except Exception as error:  # the reader raises one error type for all causes
-        if "PATH_NOT_FOUND" in str(error):
-            return False
-        raise
-
-
 def catalog(frames: Mapping[str, DataFrame]) -> DataFrame:
     """(table_name, n_rows, n_columns) of the loaded tables."""
     sizes = [
