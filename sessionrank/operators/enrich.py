@@ -36,7 +36,8 @@ def enrich(
 
     ``logs`` maps an output prefix to (log, keys, time column, counters). Logs and prices
     with the same keys share one timeline, so the session rows are exchanged once per
-    distinct key set and not once per log.
+    distinct key set and not once per log. Timelines take their hours from the narrow
+    session table, and the widest payload is joined last.
     """
     by_keys: dict[tuple, list] = {("content_id",): [prices]}
     derived, totals = {}, []
@@ -44,9 +45,12 @@ def enrich(
         by_keys.setdefault(tuple(keys), []).append(Running(log, {f"{prefix}_{n}": c for n, c in counters.items()}, ts))
         totals += [f"{prefix}_{n}" for n in counters]
         derived.update(ctr(prefix) if "impression" in counters else site_rates(prefix))
+    def width(sources: list) -> int:
+        return sum(len(s.columns if isinstance(s, Latest) else s.sums) for s in sources)
+
     out = sessions
-    for keys, sources in by_keys.items():
-        out = as_of(out, list(keys), sources)
+    for keys, sources in sorted(by_keys.items(), key=lambda part: width(part[1])):
+        out = as_of(out, list(keys), sources, asked=sessions)
     out = out.join(content, "content_id", "left").join(users, "user_id", "left")
     parts = calendar_parts(F.col("ts_hour"))
     out = out.withColumns({

@@ -58,14 +58,16 @@ def as_of(
     sources: Sequence[Running | Latest],
     ts: str = "ts_hour",
     strict: bool = False,
+    asked: DataFrame | None = None,
 ) -> DataFrame:
     """Left rows with every source's state at or before (``strict``: before) the row's hour.
 
     A key without history gets nulls. All sources of one key share one timeline: one
-    aggregation, one sort and one join, however many sources there are.
+    aggregation, one sort and one join, however many sources there are. ``asked`` names a
+    cheaper frame with the same keys and times, for a left side that is itself a long plan.
     """
-    asked = left.select(*keys, floor_hour(ts).alias("_hour"), F.lit(1).alias("_asked"))
-    stacked = asked.dropna(subset=[*keys, "_hour"])
+    wanted = (left if asked is None else asked).select(*keys, floor_hour(ts).alias("_hour"), F.lit(1).alias("_asked"))
+    stacked = wanted.dropna(subset=[*keys, "_hour"])
     merges, reads = [F.max("_asked").alias("_asked")], []
     frame = _past(keys, "_hour", strict)
     for i, source in enumerate(sources):
