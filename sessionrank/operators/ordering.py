@@ -9,8 +9,10 @@ spreads over many tasks, and are stitched together with per-range totals.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,6 +120,19 @@ def _slice_of(key: Column, pivots: list[Column]) -> Column:
     return tree(0, len(pivots))
 
 
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """The frame held on the executors (memory, then disk) while a search passes over it again and again.
+
+    Lost pieces are computed anew from the lineage. Give it narrow frames.
+    """
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield held
+    finally:
+        held.unpersist()
+
+
 def key_at(df: DataFrame, cols: Sequence[str], position: int, rows: int | None = None, small_rows: int = SMALL_ROWS) -> tuple:
     """The order key at a 0-based position of the ascending order of ``cols`` (no nulls).
 
@@ -157,14 +172,15 @@ def key_at(df: DataFrame, cols: Sequence[str], position: int, rows: int | None =
 
 def exact_quantile(df: DataFrame, column: str, q: float, small_rows: int = SMALL_ROWS) -> float | None:
     """Exact quantile with linear interpolation between the two nearest values."""
-    values = df.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)")
-    n = values.count()
-    if n == 0:
-        return None
-    where = q * (n - 1)
-    low = int(where)
-    a = key_at(values, ["v"], low, n, small_rows)[0]
-    if where == low:
-        return a
-    b = key_at(values, ["v"], low + 1, n, small_rows)[0]
-    return a + (b - a) * (where - low)
+    numbers = df.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    with kept(numbers) as values:
+        n = values.count()
+        if n == 0:
+            return None
+        where = q * (n - 1)
+        low = int(where)
+        a = key_at(values, ["v"], low, n, small_rows)[0]
+        if where == low:
+            return a
+        b = key_at(values, ["v"], low + 1, n, small_rows)[0]
+        return a + (b - a) * (where - low)

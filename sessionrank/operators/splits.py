@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionrank.operators.ordering import SMALL_ROWS, key_at, key_literal, literal
+from sessionrank.operators.ordering import SMALL_ROWS, kept, key_at, key_literal, literal
 
 # A total order over session rows, so that a position names one row.
 ORDER = ("ts_hour", "session_id", "content_id")
@@ -26,22 +26,24 @@ def _after(df: DataFrame, order: Sequence[str], key: tuple) -> Column:
 
 def time_split(df: DataFrame, val_frac: float = 0.15, order: Sequence[str] = ORDER, small_rows: int = SMALL_ROWS) -> tuple[DataFrame, DataFrame]:
     """(first int(n * (1 - val_frac)) rows by time, the rest)."""
-    n = df.count()
-    size = int(n * (1 - val_frac))
-    if size == 0:
-        return df.where(F.lit(False)), df
-    cut = key_at(df, order, size - 1, n, small_rows)
+    with kept(df.select(*order)) as keys:
+        n = keys.count()
+        size = int(n * (1 - val_frac))
+        if size == 0:
+            return df.where(F.lit(False)), df
+        cut = key_at(keys, order, size - 1, n, small_rows)
     return df.where(_upto(df, order, cut)), df.where(_after(df, order, cut))
 
 
 def three_way(df: DataFrame, val_frac: float = 0.15, test_frac: float = 0.05, order: Sequence[str] = ORDER, small_rows: int = SMALL_ROWS) -> dict[str, DataFrame]:
     """First ``test_frac`` of the rows test, last ``val_frac`` validation, the middle train."""
-    n = df.count()
-    test_end, val_start = int(n * test_frac), int(n * (1 - val_frac))
-    if not 0 < test_end < val_start:
-        raise ValueError(f"{n} rows are too few for a three-way split")
-    low = key_at(df, order, test_end - 1, n, small_rows)
-    high = key_at(df, order, val_start - 1, n, small_rows)
+    with kept(df.select(*order)) as keys:
+        n = keys.count()
+        test_end, val_start = int(n * test_frac), int(n * (1 - val_frac))
+        if not 0 < test_end < val_start:
+            raise ValueError(f"{n} rows are too few for a three-way split")
+        low = key_at(keys, order, test_end - 1, n, small_rows)
+        high = key_at(keys, order, val_start - 1, n, small_rows)
     return {
         "test": df.where(_upto(df, order, low)),
         "train": df.where(_after(df, order, low) & _upto(df, order, high)),
@@ -51,10 +53,10 @@ def three_way(df: DataFrame, val_frac: float = 0.15, test_frac: float = 0.05, or
 
 def cutoffs(df: DataFrame, ts: str = "ts_hour", val_frac: float = 0.15, test_frac: float = 0.05, small_rows: int = SMALL_ROWS) -> tuple:
     """The times at the test end and validation start positions; only the time column is read."""
-    times = df.select(ts)
-    n = times.count()
-    places = [max(0, min(n - 1, int(n * f))) for f in (test_frac, 1 - val_frac)]
-    return tuple(key_at(times, [ts], p, n, small_rows)[0] for p in places)
+    with kept(df.select(ts)) as times:
+        n = times.count()
+        places = [max(0, min(n - 1, int(n * f))) for f in (test_frac, 1 - val_frac)]
+        return tuple(key_at(times, [ts], p, n, small_rows)[0] for p in places)
 
 
 def by_cutoffs(df: DataFrame, low, high, ts: str = "ts_hour") -> dict[str, DataFrame]:
