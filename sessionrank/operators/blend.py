@@ -35,7 +35,7 @@ def grid(start: float, stop: float, points: int) -> list[float]:
 
 def score_weights(df: DataFrame, weights: Sequence[float], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Ranking score of every two-head weight."""
-    candidates = F.array(*[F.struct(F.lit(float(w)).alias("w")) for w in weights])
+    candidates = [F.struct(F.lit(float(w)).alias("w")) for w in weights]
     return group_auc_of_each(df, candidates, two_heads(F.col("w")), ["w"], hot_rows=hot_rows)
 
 
@@ -54,4 +54,4 @@ def score_simplex(df: DataFrame, step: float, hot_rows: int = HOT_ROWS) -> DataF
     """Ranking score of every three-head blend on the simplex grid."""
     cells = [F.struct(F.lit(o).alias("w_order"), F.lit(a).alias("w_any"), F.lit(c).alias("w_click")) for o, a, c in simplex(step)]
     blend = three_heads(F.col("w_order"), F.col("w_any"), F.col("w_click"))
-    return group_auc_of_each(df, F.array(*cells), blend, ["w_order", "w_any", "w_click"], hot_rows=hot_rows)
+    return group_auc_of_each(df, cells, blend, ["w_order", "w_any", "w_click"], hot_rows=hot_rows)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,25 +70,25 @@ def group_auc(df: DataFrame, score: str | Column, session: str = "session_id", i
     return mean_auc(session_auc(df, score, session=session, item=item, hot_rows=hot_rows))
 
 
-def group_auc_of_each(df: DataFrame, candidates: DataFrame | Column, score: Column, by: Sequence[str], session: str = "session_id", item: str = "content_id", hot_rows: int = HOT_ROWS) -> DataFrame:
+def group_auc_of_each(df: DataFrame, candidates: Sequence[Column], score: Column, by: Sequence[str], session: str = "session_id", item: str = "content_id", hot_rows: int = HOT_ROWS) -> DataFrame:
     """The ranking score of many candidate blends in one job.
 
-    ``candidates`` is an array column of structs with the fields ``by``. Rows are exchanged by
-    session once, narrow; the candidates multiply them only after the exchange, and each
-    (session, candidate) is then ranked where it lies.
+    Each candidate is a struct with the fields ``by``. Rows are exchanged by session once,
+    narrow; the candidates multiply them only after the exchange, and each (session,
+    candidate) is then ranked where it lies. A session counts as hot by its multiplied size.
     """
     labels = ["ordered", "clicked"]
     need = df.select(session, item, "p_order", "p_click", *labels, *[c for c in ("p_any",) if c in df.columns])
-    cold, hot = split_hot(need, [session], hot_rows)
-    keys = [*by, session]
+    cold, hot = split_hot(need, [session], max(1, hot_rows // len(candidates)))
+    keys, multiplied = [*by, session], F.inline(F.array(*candidates))
     order = [F.col("_score").desc(), F.col(item).asc()]
     one = {"rank": F.lit(1).cast("bigint")}
     ranked = []
     if cold is not None:
-        many = cold.repartition(session).select("*", F.inline(candidates)).withColumn("_score", score)
+        many = cold.repartition(session).select("*", multiplied).withColumn("_score", score)
         ranked.append(window_running(many, keys, order, one))
     if hot is not None:
-        many = hot.select("*", F.inline(candidates)).withColumn("_score", score)
+        many = hot.select("*", multiplied).withColumn("_score", score)
         ranked.append(range_running(many, keys, order, one))
     parts = [auc_of_ranks(r, keys, labels) for r in ranked]
     per_session = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -219,11 +219,3 @@ def precision_recall(df: DataFrame, score: str | Column, label: str, threshold:
 def best_of(results: DataFrame, name: str, score: str) -> DataFrame:
     """The row with the highest score; the smallest name on ties."""
     return results.orderBy(F.desc(score), F.asc(name)).limit(1)
-
-
-def metrics_table(parts: Mapping[str, DataFrame]) -> DataFrame:
-    frames = [df.withColumn("metric", F.lit(name)) for name, df in parts.items()]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
