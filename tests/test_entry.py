@@ -6,9 +6,6 @@ import pytest
 import __spark_entry__ as driver
 from tools.check import TABLES, rows_of
 
-SLOW = {n for n in driver.queries() if n not in driver.oracle_sql()}
-
-
 @pytest.fixture(scope="module")
 def con(sf):
     c = duckdb.connect()
@@ -34,3 +31,14 @@ def test_query_equals_sql(spark, sf, con, name):
 @pytest.mark.parametrize("name", ["train_wide_linear", "vectorize_text", "hash_bucket_fast"])
 def test_query_without_sql_runs(spark, sf, name):
     assert driver.queries()[name](spark, sf).count() > 0
+
+
+@pytest.mark.parametrize("name", ["asof_enrich_all", "temporal_range_join", "search_blend_weight", "session_price_z", "join_global_scalar", "relevance_lexical"])
+def test_plan_joins_on_keys_only(spark, sf, name):
+    plan = driver.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_column_pruning_reaches_the_scan(spark, sf):
+    plan = driver.queries()["lazy_scan_filter"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(o_orderdate" in plan and "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_orderdate:timestamp_ntz>" in plan
