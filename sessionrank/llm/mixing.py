@@ -45,13 +45,14 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: float =
     whole = Window.partitionBy(F.lit(0))
     rows = rows.select(
         "*",
+        F.row_number().over(by_room).alias("place"),
         F.sum("source_size").over(whole).cast("double").alias("total"),
         (F.coalesce(F.sum("room").over(by_room.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).alias("before"),
         (F.sum("w").over(whole) - F.sum("w").over(upto) + F.col("w")).alias("open"),
     )
     # the first source in this order that is not full sets the level
     rows = rows.withColumn("level", (F.col("total") - F.col("before")) / F.col("open"))
-    first = F.min(F.when(F.col("level") * F.col("w") <= F.col("room"), F.struct(F.col("room") / F.col("w"), F.col("level").alias("level")))).over(whole)["level"]
+    first = F.min(F.when(F.col("level") * F.col("w") <= F.col("room"), F.struct("place", "level"))).over(whole)["level"]
     rows = rows.withColumn("at", first)
     return rows.select("source", "source_size", F.least(F.col("room"), F.coalesce(F.col("at") * F.col("w"), F.col("room"))).alias("target"))
 

@@ -6,7 +6,7 @@ from functools import cache
 
 from pyspark.sql import functions as F
 
-from sessionrank.llm import common, mixing, pii, setjoin, sharding, tokencount, tokenfile, toxicity
+from sessionrank.llm import common, mixing, neardup, neighbours, pii, setjoin, sharding, tokencount, tokenfile, toxicity
 from sessionrank.llm import piece as pieces
 
 QUERIES = {}
@@ -42,11 +42,21 @@ def op1_pii_disclosure(spark, sf_dir):
     return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans", "n_term")
 
 
+@query
+def op2_multiprobe_neighbours(spark, sf_dir):
+    return neighbours.search(_table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op3_set_join(spark, sf_dir):
     return setjoin.link(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_collision_near_duplicates(spark, sf_dir):
+    return neardup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op5_token_counts(spark, sf_dir):
     return tokencount.counts(_table(spark, sf_dir, "documents"), tokenizer(PIECES))
