@@ -248,6 +248,20 @@ def _open_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return _pairs(outside.join(split.alias("y"), "key").where(_can_link("x", "y") & F.expr("x.component <> y.component")))
 
 
+def _likely(pairs: DataFrame, keys: DataFrame, light: int) -> DataFrame:
+    """The pairs whose prefixes share enough keys to link at all; sets up to ``light`` are small and all stay.
+
+    All common shingles up to the earlier of two prefix ends stand in both prefixes, and behind
+    that end the set whose prefix it is has less than ``needed`` shingles left.
+    """
+    a = keys.select(F.col("doc").alias("a"), F.col("keys").alias("x"), F.col("least").alias("xl"), F.col("most").alias("xm"))
+    b = keys.select(F.col("doc").alias("b"), F.col("keys").alias("y"), F.col("least").alias("yl"), F.col("most").alias("ym"))
+    common = F.size(F.array_intersect("x", "y"))
+    rest = F.ceil(F.greatest("xm", "ym") * F.lit(0.75)) - 1
+    enough = 7 * (common + rest) >= 3 * (F.col("xl") + F.col("yl"))
+    return pairs.join(a, "a").join(b, "b").where((F.least("xl", "yl") <= light) | enough).select("a", "b")
+
+
 def _arrays(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, shingles) of the wanted documents."""
     schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
@@ -295,12 +309,20 @@ def link(docs: DataFrame) -> DataFrame:
     level, hot, mean_list = _levels(survey)
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // (4 * LIST_ROWS) + 1)
-    lists = stored(_lists(docs, level, hot, boundary(mean_list), parts), "join_lists")
-    arrays = stored(_arrays(docs, lists.select(F.col("doc").alias("doc_id")).distinct()), "join_sets")
+    light = boundary(mean_list)
+    lists = stored(_lists(docs, level, hot, light, parts), "join_lists")
+    keys = lists.groupBy("doc").agg(F.collect_list("key").alias("keys"), F.min("size").alias("least"), F.max("size").alias("most"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        likely = stored(_likely(pairs, keys, light), "join_likely")
+        ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
+        return stored(_linked(likely, stored(_arrays(docs, ids), "join_sets")), "join_links")
+
     near = stored(_hub_pairs(lists), "join_pairs")
-    edges = stored(_linked(near, arrays), "join_links")
-    more = _open_pairs(lists, components(edges)).join(near, ["a", "b"], "left_anti")
-    edges = stored(edges.union(_linked(more, arrays)), "join_links")
+    edges = verified(near)
+    more = stored(_open_pairs(lists, components(edges)).join(near, ["a", "b"], "left_anti"), "join_more")
+    if not more.isEmpty():
+        edges = edges.union(verified(more))
 
     same = rows.where("doc_id is not null and n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
     named = rows.join(same, ["h1", "h2"], "left")
