@@ -21,15 +21,17 @@ from pyspark.sql import functions as F
 from sessionrank.llm.common import arrow_rows, components, fixed_columns, mix, raw_bytes, shingle_hashes, small_or_shuffled, stored, word_hashes
 
 WIDTH = 5
-CELLS = 1 << 20  # of the frequency sketch; a fixed size whatever the corpus
-CHUNK = 1 << 14  # cells in one row of it
-HUBS = 8  # members of a list that all its members are compared with first
+CELL_BITS = 22
+CELLS = 1 << CELL_BITS  # of the frequency sketch; a fixed size whatever the corpus
+CHUNK = 1 << 16  # cells in one row of it
+HUBS = 3  # members of a list that all its members are compared with first
 LIST_ROWS = 1_000_000  # postings in one shuffled group, about
 HOT = 200_000  # documents of a shingle from which its list is dealt over several parts
 SUBSETS = 600  # at most so many pairs are enumerated for a set
 CLASSES = float(np.log(4 / 3))  # sizes of linked sets differ by this factor at most
 
 _U = np.uint64
+_SHIFT = _U(64 - CELL_BITS)
 
 
 def needed(size):
@@ -63,6 +65,18 @@ class Sets:
 _SEEN = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("chunk", pa.int32()), ("cells", pa.binary())])
 
 
+def _packed(cells: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(cells.astype("<u4").tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<u4")
+
+
 def _survey(docs: DataFrame) -> DataFrame:
     """One row per document (id, set size, digest of its words), and rows with pieces of the sketch."""
 
@@ -71,7 +85,7 @@ def _survey(docs: DataFrame) -> DataFrame:
         for part in parts:
             found = Sets(part.column("text"))
             if any(map(len, found.sets)):
-                cells += np.bincount((np.concatenate(found.sets) >> _U(44)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+                cells += np.bincount((np.concatenate(found.sets) >> _SHIFT).astype(np.int64), minlength=CELLS).astype(np.uint32)
                 used = True
             n = part.num_rows
             yield arrow_rows(_SEEN, [part.column("doc_id"), [len(s) for s in found.sets], [d[0] for d in found.digests], [d[1] for d in found.digests], pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())])
@@ -79,7 +93,7 @@ def _survey(docs: DataFrame) -> DataFrame:
             rows = cells.reshape(-1, CHUNK)
             n = len(rows)
             none = pa.nulls(n, pa.int64())
-            yield arrow_rows(_SEEN, [none, none, none, none, list(range(n)), [r.tobytes() for r in rows]])
+            yield arrow_rows(_SEEN, [none, none, none, none, list(range(n)), [_packed(r) for r in rows]])
 
     return docs.mapInArrow(scan, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, chunk int, cells binary")
 
@@ -94,18 +108,20 @@ def _levels(survey: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     pieces = survey.where("cells is not null").select("chunk", "cells", F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(32)).alias("salt"))
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b.as_py(), np.uint32).astype(np.uint64) for b in table.column("cells")).astype(np.uint32)
-        return pa.table({"chunk": table.column("chunk")[:1], "cells": pa.array([total.tobytes()], pa.binary())})
+        total = np.zeros(CHUNK, np.uint64)
+        for b in table.column("cells"):
+            total += _unpacked(b.as_py())
+        return pa.table({"chunk": table.column("chunk")[:1], "cells": pa.array([_packed(total.astype(np.uint32))], pa.binary())})
 
     # two steps, so that a group has few rows however many tasks there were
     pieces = pieces.groupBy("chunk", "salt").applyInArrow(add, "chunk int, cells binary").groupBy("chunk").applyInArrow(add, "chunk int, cells binary")
     cells = np.zeros(CELLS, np.float64)
     for row in pieces.collect():  # CELLS counters, whatever the corpus
-        cells[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = np.frombuffer(bytes(row.cells), np.uint32)
+        cells[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = _unpacked(bytes(row.cells))
     noise = float(np.median(cells))
     spread = max(1.0, float(np.sqrt(noise)))
     over = np.maximum(cells - noise, 0.0)
-    level = np.where(over > 6 * spread, 1 + np.log2(np.maximum(over / (6 * spread), 1.0)), 0.0)
+    level = np.where(over > 4 * spread, 1 + np.log2(np.maximum(over / (4 * spread), 1.0)), 0.0)
     return np.floor(level).astype(np.uint8), over > HOT, float((over**2).sum() / max(1.0, cells.sum()))
 
 
@@ -141,20 +157,20 @@ def postings(ids: np.ndarray, sets: list[np.ndarray], level: np.ndarray, hot: np
         n = len(s)
         if n == 0:
             continue
-        rank = level[(s >> _U(44)).astype(np.int64)]
+        rank = level[(s >> _SHIFT).astype(np.int64)]
         order = np.lexsort((s, rank)) if rank.any() else slice(None)  # sets are sorted by hash already
         ordered = s[order]
         made = []
         if n == 1 or n > light or 4 * n >= 3 * (light + 1):
             p = int(prefix_length(n, 1))
-            long = hot[(ordered[:p] >> _U(44)).astype(np.int64)]
+            long = hot[(ordered[:p] >> _SHIFT).astype(np.int64)]
             made.append((mix(ordered[:p] ^ _U(1)), np.where(long, -1 - np.arange(p), np.arange(p))))
         if 2 <= n <= light:
             p = int(prefix_length(n, 2))
             i, j = np.triu_indices(p, 1)
             with np.errstate(over="ignore"):
                 pair = mix(ordered[i] * _U(0xD6E8FEB86659FD93) + ordered[j])
-            long = hot[(ordered[i] >> _U(44)).astype(np.int64)] & hot[(ordered[j] >> _U(44)).astype(np.int64)]
+            long = hot[(ordered[i] >> _SHIFT).astype(np.int64)] & hot[(ordered[j] >> _SHIFT).astype(np.int64)]
             made.append((pair, np.where(long, -1 - j, j)))
         for k, at in made:
             keys.append(k)
