@@ -148,6 +148,8 @@ def key_at(df: DataFrame, cols: Sequence[str], position: int, rows: int | None =
     while n > small_rows:
         sample = part.sample(fraction=min(1.0, FANOUT / n)).distinct().orderBy(*cols).collect()
         if not sample:
+            if part.isEmpty():
+                raise ValueError("order columns must not be null")
             continue
         pivots = [key_literal(df, cols, row) for row in sample]
         counts = dict(part.groupBy(_slice_of(key, pivots).alias("slice")).count().collect())

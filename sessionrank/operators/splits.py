@@ -6,62 +6,76 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sessionrank.operators.ordering import SMALL_ROWS, kept, key_at, key_literal, literal
+from sessionrank.operators.ordering import SMALL_ROWS, kept, key_at, literal
 
 # A total order over session rows, so that a position names one row.
 ORDER = ("ts_hour", "session_id", "content_id")
 
 
-def _upto(df: DataFrame, order: Sequence[str], key: tuple) -> Column:
-    """Rows whose order key is at most ``key``; the first column alone can reach the scan."""
-    first = literal(key[0], df.schema[order[0]].dataType)
-    return (F.col(order[0]) <= first) & (F.struct(*order) <= key_literal(df, order, key))
+def _filled(df: DataFrame, order: Sequence[str]) -> dict[str, Column]:
+    """The order as columns without nulls, nulls first: for each a flag of presence, then the value or a constant."""
+    out = {}
+    for c in order:
+        kind = df.schema[c].dataType
+        blank = F.lit("1900-01-01" if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) else "" if isinstance(kind, T.StringType) else "0").cast(kind)
+        out[f"_has_{c}"], out[f"_val_{c}"] = F.col(c).isNotNull().cast("int"), F.coalesce(F.col(c), blank)
+    return out
 
 
-def _after(df: DataFrame, order: Sequence[str], key: tuple) -> Column:
-    first = literal(key[0], df.schema[order[0]].dataType)
-    return (F.col(order[0]) >= first) & (F.struct(*order) > key_literal(df, order, key))
+def _side(df: DataFrame, order: Sequence[str], key: tuple, after: bool) -> Column:
+    """Rows whose order key is above ``key``, or at most it. A null-free first column lets its bound reach the scan."""
+    filled = _filled(df, order)
+    kinds = [k for c in order for k in (T.IntegerType(), df.schema[c].dataType)]
+    ours = F.struct(*[c.alias(n) for n, c in filled.items()])
+    cut = F.struct(*[literal(v, k).alias(n) for n, v, k in zip(filled, key, kinds)])
+    first, bound = F.col(order[0]), literal(key[1], kinds[1])
+    if after:
+        return (first >= bound) & (ours > cut) if key[0] else ours > cut
+    return (first.isNull() | (first <= bound)) & (ours <= cut) if key[0] else first.isNull() & (ours <= cut)
 
 
 def time_split(df: DataFrame, val_frac: float = 0.15, order: Sequence[str] = ORDER, small_rows: int = SMALL_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(first int(n * (1 - val_frac)) rows by time, the rest)."""
-    with kept(df.select(*order)) as keys:
+    """(first int(n * (1 - val_frac)) rows by time, the rest); rows without a time come first."""
+    filled = _filled(df, order)
+    with kept(df.select(*[c.alias(n) for n, c in filled.items()])) as keys:
         n = keys.count()
         size = int(n * (1 - val_frac))
         if size == 0:
             return df.where(F.lit(False)), df
-        cut = key_at(keys, order, size - 1, n, small_rows)
-    return df.where(_upto(df, order, cut)), df.where(_after(df, order, cut))
+        cut = key_at(keys, list(filled), size - 1, n, small_rows)
+    return df.where(_side(df, order, cut, False)), df.where(_side(df, order, cut, True))
 
 
 def three_way(df: DataFrame, val_frac: float = 0.15, test_frac: float = 0.05, order: Sequence[str] = ORDER, small_rows: int = SMALL_ROWS) -> dict[str, DataFrame]:
-    """First ``test_frac`` of the rows test, last ``val_frac`` validation, the middle train."""
-    with kept(df.select(*order)) as keys:
+    """First ``test_frac`` of the rows test, last ``val_frac`` validation, the middle train; rows without a time come first."""
+    filled = _filled(df, order)
+    with kept(df.select(*[c.alias(n) for n, c in filled.items()])) as keys:
         n = keys.count()
         test_end, val_start = int(n * test_frac), int(n * (1 - val_frac))
         if not 0 < test_end < val_start:
             raise ValueError(f"{n} rows are too few for a three-way split")
-        low = key_at(keys, order, test_end - 1, n, small_rows)
-        high = key_at(keys, order, val_start - 1, n, small_rows)
+        low = key_at(keys, list(filled), test_end - 1, n, small_rows)
+        high = key_at(keys, list(filled), val_start - 1, n, small_rows)
     return {
-        "test": df.where(_upto(df, order, low)),
-        "train": df.where(_after(df, order, low) & _upto(df, order, high)),
-        "val": df.where(_after(df, order, high)),
+        "test": df.where(_side(df, order, low, False)),
+        "train": df.where(_side(df, order, low, True) & _side(df, order, high, False)),
+        "val": df.where(_side(df, order, high, True)),
     }
 
 
 def cutoffs(df: DataFrame, ts: str = "ts_hour", val_frac: float = 0.15, test_frac: float = 0.05, small_rows: int = SMALL_ROWS) -> tuple:
-    """The times at the test end and validation start positions; only the time column is read."""
-    with kept(df.select(ts)) as times:
+    """The times at the test end and validation start positions; only the time column is read, rows without a time are left out of the count."""
+    with kept(df.select(ts).where(F.col(ts).isNotNull())) as times:
         n = times.count()
         places = [max(0, min(n - 1, int(n * f))) for f in (test_frac, 1 - val_frac)]
         return tuple(key_at(times, [ts], p, n, small_rows)[0] for p in places)
 
 
 def by_cutoffs(df: DataFrame, low, high, ts: str = "ts_hour") -> dict[str, DataFrame]:
-    """Whole hours: test up to ``low``, validation from ``high``, train strictly between."""
+    """Whole hours: test up to ``low``, validation from ``high``, train strictly between. Rows without a time come first, in test."""
     kind = df.schema[ts].dataType
     a, b = literal(low, kind), literal(high, kind)
     t = F.col(ts)
-    return {"test": df.where(t <= a), "train": df.where((t > a) & (t < b)), "val": df.where(t >= b)}
+    return {"test": df.where(t.isNull() | (t <= a)), "train": df.where((t > a) & (t < b)), "val": df.where(t >= b)}

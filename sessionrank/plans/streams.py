@@ -15,13 +15,12 @@ def _events(spark, sf):
 
 @query("stream_hourly_counts", "select date_trunc('hour', ts) as ts_hour, count(*) as n from events group by 1")
 def stream_hourly_counts(spark, sf):
-    counts = hourly.hourly(_events(spark, sf), "ts", [], {"n": F.count(F.lit(1))})
-    return hourly.run_available(counts, "hourly_counts", [])
+    return hourly.run_available(_events(spark, sf), "hourly_counts", "ts", [], {"n": F.count(F.lit(1))})
 
 
 @query("stream_hourly_counters", """select user_id, date_trunc('hour', ts) as ts_hour, count(*) filter (event_type = 'click') as clicks,
     count(*) filter (event_type = 'purchase') as orders from events group by 1, 2""")
 def stream_hourly_counters(spark, sf):
     kind = F.col("event_type")
-    sums = hourly.hourly(_events(spark, sf), "ts", ["user_id"], {"clicks": F.count_if(kind == "click"), "orders": F.count_if(kind == "purchase")})
-    return hourly.run_available(sums, "hourly_counters", ["user_id"])
+    aggs = {"clicks": F.count_if(kind == "click"), "orders": F.count_if(kind == "purchase")}
+    return hourly.run_available(_events(spark, sf), "hourly_counters", "ts", ["user_id"], aggs)

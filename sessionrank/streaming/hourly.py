@@ -15,29 +15,22 @@ def file_stream(spark: SparkSession, path: str, like: DataFrame, per_trigger: in
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def hourly(stream: DataFrame, ts: str, keys: Sequence[str], aggs: Mapping[str, Column], late: str = "1 hour") -> DataFrame:
-    """Aggregates per (keys, hour); state of an hour is dropped once the watermark has passed it."""
-    timed = stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late)
-    grouped = timed.groupBy(F.window("_ts", "1 hour").alias("_w"), *keys)
-    return grouped.agg(*[c.alias(n) for n, c in aggs.items()]).select(*keys, F.col("_w.start").cast("timestamp_ntz").alias("ts_hour"), *aggs)
+def run_available(stream: DataFrame, name: str, ts: str, keys: Sequence[str], aggs: Mapping[str, Column]) -> DataFrame:
+    """Aggregates per (keys, hour) of all that has arrived, then stop; the aggregates must be sums or counts.
 
-
-def run_available(updates: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
-    """Process what has arrived, then stop; returns the newest value of every (keys, hour).
-
-    Each micro-batch writes its changed rows to its own folder, so a batch that is run
-    again after a failure replaces its own output and nothing is counted twice.
+    Each micro-batch is aggregated alone into its own folder, and the folders are summed. So
+    rows count in whatever order and batch they come, none is late, and a batch that is run again
+    after a failure replaces its own output.
     """
-    spark = updates.sparkSession
+    spark = stream.sparkSession
     root = output_path(spark, name)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/data/batch={number}")
+        hours = batch.groupBy(*keys, F.date_trunc("hour", ts).cast("timestamp_ntz").alias("ts_hour"))
+        hours.agg(*[c.alias(n) for n, c in aggs.items()]).write.mode("overwrite").parquet(f"{root}/data/batch={number}")
 
-    writer = updates.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{root}/state")
+    writer = stream.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", f"{root}/state")
     running = writer.trigger(availableNow=True).start()
     running.awaitTermination()
-    values = [c for c in updates.columns if c not in (*keys, "ts_hour")]
     written = spark.read.option("basePath", f"{root}/data").parquet(f"{root}/data/*")
-    newest = F.max_by(F.struct(*values), F.col("batch")).alias("_v")
-    return written.groupBy(*keys, "ts_hour").agg(newest).select(*keys, "ts_hour", *[F.col(f"_v.{v}").alias(v) for v in values])
+    return written.groupBy(*keys, "ts_hour").agg(*[F.sum(n).alias(n) for n in aggs])
