@@ -108,7 +108,7 @@ def word_hashes(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     with np.errstate(over="ignore"):
         sums = np.zeros(n + 1, np.uint64)
         # sum of byte codes times powers of an odd base, taken back to power 0 by its inverse
-        power, inverse = _powers(n + 1)
+        power, inverse = powers(n + 1)
         np.cumsum(_BYTE[apart] * power[:n], out=sums[1:])
         h = mix(((sums[end] - sums[start]) * inverse[start]) ^ ((end - start).astype(np.uint64) * _GOLD))
     return h, np.searchsorted(start, np.append(first, n))
@@ -117,7 +117,7 @@ def word_hashes(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 _TABLES: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64; kept between batches while short."""
     if len(_TABLES.get("power", ())) < n:
         size = 1 << max(16, (n - 1).bit_length())

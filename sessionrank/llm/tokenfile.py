@@ -10,6 +10,7 @@ crosses a block.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import zlib
@@ -19,14 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sessionrank.llm.common import arrow_rows, fixed_columns, small_or_shuffled, texts
+from sessionrank.llm.common import arrow_rows, fixed_columns, mix, powers, small_or_shuffled, texts
 from sessionrank.session import output_path
 
 BLOCK_IDS = 1_000_000
 ROUNDS = 6  # of replacing pairs, at most
 LEAST = 16  # a pair must stand so often in a block to get a symbol
-HELD = 400_000  # encoded pieces of text a worker keeps
+HELD = 1_500_000  # encoded pieces of text a worker keeps
+HELD_IDS = 8_000_000  # ids of these pieces
+SLICE = 1 << 20  # bytes of text looked up at a time
 SYMBOLS = 1 << 16
+_HASH_BITS, _SLOT_BITS = 20, 22
+_U = np.uint64
 
 SCHEMA = "shard int, block int, n_docs int, n_ids bigint, terminals int, doc_ids array<bigint>, lengths array<int>, rules binary, expansions binary, symbols binary"
 _ARROW = pa.schema([
@@ -44,17 +49,18 @@ def compress(ids: np.ndarray, terminals: int, rounds: int = ROUNDS, least: int =
     Every round counts all neighbouring pairs, gives symbols to the frequent ones, the most
     frequent first, and replaces them from the left without overlap.
     """
-    seq = ids.astype(np.int64)
+    seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     made = terminals
     size = np.ones(SYMBOLS, np.int64)
+    where = np.zeros(1 << _HASH_BITS, np.int32)  # 1 + number of the chosen pair that hashes to a cell
     for _ in range(rounds):
         room = SYMBOLS - made
         if room <= 0 or len(seq) < 2:
             break
-        pair = (seq[:-1] << 16) | seq[1:]
+        pair = (seq[:-1] << np.uint32(16)) | seq[1:]
         ordered = np.sort(pair)
-        edge = np.flatnonzero(np.diff(ordered, prepend=-1))
+        edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         count = np.diff(edge, append=len(ordered))
         often = np.flatnonzero(count >= least)
         if not len(often):
@@ -62,20 +68,27 @@ def compress(ids: np.ndarray, terminals: int, rounds: int = ROUNDS, least: int =
         # an early round takes its share of the room, so that later ones can build on its symbols
         take = max(1, min(len(often), max(room // 3, 256), room))
         often = often[np.argsort(-count[often], kind="stable")[:take]]
-        chosen = np.sort(ordered[edge[often]])
-        at = np.searchsorted(chosen, pair)
-        at[at == len(chosen)] = 0
-        hit = chosen[at] == pair
+        chosen = ordered[edge[often]]
+        # of pairs that share a cell the most frequent one goes first, the others wait for a later round
+        cell = _cells(chosen)
+        chosen = chosen[np.sort(np.unique(cell, return_index=True)[1])]
+        cell = _cells(chosen)
+        where[cell] = np.arange(1, len(chosen) + 1)
+        at = where[_cells(pair)]
+        place = np.flatnonzero(at)
+        at = at[place] - 1
+        hit = chosen[at] == pair[place]
+        place, at = place[hit], at[hit]
+        where[cell] = 0
         # of hits in a row, every second one
-        place = np.arange(len(hit))
-        run = place - np.maximum.accumulate(np.where(~hit, place, -1))
-        hit &= run % 2 == 1
-        new = seq.copy()
-        new[:-1][hit] = made + at[hit]
+        number = np.arange(len(place))
+        run = number - np.maximum.accumulate(np.where(np.diff(place, prepend=-2) > 1, number, 0))
+        place, at = place[run % 2 == 0], at[run % 2 == 0]
+        seq[place] = (made + at).astype(np.uint32)
         keep = np.ones(len(seq), bool)
-        keep[1:][hit] = False
-        seq = new[keep]
-        left, right = chosen >> 16, chosen & 0xFFFF
+        keep[place + 1] = False
+        seq = seq[keep]
+        left, right = chosen >> np.uint32(16), chosen & np.uint32(0xFFFF)
         size[made : made + len(chosen)] = size[left] + size[right]
         rules.append(np.stack([left, right], axis=1))
         made += len(chosen)
@@ -83,8 +96,11 @@ def compress(ids: np.ndarray, terminals: int, rounds: int = ROUNDS, least: int =
     return seq.astype("<u2"), flat.astype("<u2"), size[terminals:made].astype("<u4")
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray:
-    """The ids that symbols stand for; rules refer to earlier symbols only."""
+def _cells(pair: np.ndarray) -> np.ndarray:
+    return (pair * np.uint32(0x9E3779B1)) >> np.uint32(32 - _HASH_BITS)
+
+
+def _unrolled(symbols: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray:
     seq = symbols.astype(np.int64)
     rules = rules.astype(np.int64)
     while True:
@@ -99,6 +115,20 @@ def expand(symbols: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray
         seq = out
 
 
+def expand(symbols: np.ndarray, rules: np.ndarray, terminals: int, expansions: np.ndarray | None = None) -> np.ndarray:
+    """The ids that symbols stand for; rules refer to earlier symbols only. With the rules' expansion lengths every rule is unrolled once."""
+    if expansions is None or len(symbols) < len(rules):
+        return _unrolled(symbols, rules, terminals)
+    table = np.concatenate([np.arange(terminals), _unrolled(np.arange(terminals, terminals + len(rules)), rules, terminals)])
+    size = np.concatenate([np.ones(terminals, np.int64), expansions.astype(np.int64)])
+    return table[_ragged((np.cumsum(size) - size)[symbols], size[symbols])]
+
+
+def _ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, ... (``count`` of them) of all items, one after another."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
 def slice_ids(symbols: np.ndarray, rules: np.ndarray, expansions: np.ndarray, terminals: int, start: int, count: int) -> np.ndarray:
     """``count`` ids from position ``start``, expanding only the symbols that cover them."""
     if count <= 0:
@@ -111,11 +141,14 @@ def slice_ids(symbols: np.ndarray, rules: np.ndarray, expansions: np.ndarray, te
     return expand(symbols[i : j + 1], rules, terminals)[start - begin : start - begin + count]
 
 
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
+
+
 # --- tokens ---------------------------------------------------------------------------------------
 
 
 class Encoder:
-    """A byte-level tokenizer that remembers the ids of pieces of text.
+    """A byte-level tokenizer that remembers the ids of pieces of text, by their 64-bit hashes.
 
     Its pattern always parts words before a space that a character other than white space
     follows, and never looks behind, so such pieces can be encoded alone. Texts where
@@ -132,26 +165,102 @@ class Encoder:
         self.size = self.model.get_vocab_size()
         if self.size > SYMBOLS - 256:
             raise ValueError("ids must fit 16 bits and leave room for rules")
-        self.held: dict[str, bytes] = {}
+        # ids of the tokens that begin with a space
+        self.lead = np.zeros(SYMBOLS, bool)
+        self.lead[[i for t, i in self.model.get_vocab().items() if t.startswith("Ġ")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        """An empty table of pieces: open addressing by hash; the ids of piece k are flat[first[k]:][:count[k]]."""
+        self.keys = np.zeros(1 << _SLOT_BITS, np.uint64)
+        self.first, self.count = np.zeros(1 << _SLOT_BITS, np.int32), np.zeros(1 << _SLOT_BITS, np.int32)
+        self.flat, self.used, self.held = np.zeros(1 << 20, "<u2"), 0, 0
 
     def library(self, body: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.model.encode_batch_fast(body, add_special_tokens=False)]
 
-    def _pieces(self, text: str) -> list[str]:
-        parts = text.split(" ")
-        return [parts[0], *[" " + p for p in parts[1:]]] if parts[0] else [" " + p for p in parts[1:]]
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of every key, or the empty one where it belongs."""
+        at = (keys >> _U(64 - _SLOT_BITS)).astype(np.int64)
+        left = np.arange(len(keys))
+        while len(left):
+            seen = self.keys[at[left]]
+            left = left[(seen != keys[left]) & (seen != 0)]
+            at[left] = (at[left] + 1) & ((1 << _SLOT_BITS) - 1)
+        return at
+
+    def _learn(self, keys: np.ndarray, data: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
+        """Takes up new pieces of ``data``; those with a space in front are encoded as one text and cut before their spaces."""
+        spaced = data[first] == 32
+        text = data[_ragged(first[spaced], size[spaced])].tobytes().decode()
+        ids = np.frombuffer(self.library([text])[0], "<u2")
+        cut = np.flatnonzero(self.lead[ids])
+        if len(cut) != int(spaced.sum()):
+            raise RuntimeError("a piece does not begin with a token of its own")
+        bare = self.library([data[a : a + n].tobytes().decode() for a, n in zip(first[~spaced].tolist(), size[~spaced].tolist())])
+        keys = np.concatenate([keys[spaced], keys[~spaced]])
+        new = np.concatenate([ids, np.frombuffer(b"".join(bare), "<u2")])
+        count = np.concatenate([np.diff(cut, append=len(ids)), np.array([len(x) // 2 for x in bare], np.int64)])
+        while self.used + len(new) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(new)] = new
+        first = self.used + np.cumsum(count) - count
+        self.used, self.held = self.used + len(new), self.held + len(keys)
+        todo = np.arange(len(keys))
+        while len(todo):  # of keys that want one slot, one is placed at a time
+            slot, one = np.unique(self._slots(keys[todo]), return_index=True)
+            self.keys[slot], self.first[slot], self.count[slot] = keys[todo[one]], first[todo[one]], count[todo[one]]
+            todo = np.delete(todo, one)
+
+    def _hashes(self, data: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
+        """Hashes of the pieces data[starts[i]:starts[i + 1]], the last one up to ``end``; never 0."""
+        base, ends = int(starts[0]), np.append(starts[1:], end)
+        if end - base > SLICE:  # one long piece
+            return np.frombuffer(hashlib.blake2b(data[base:end].tobytes(), digest_size=8).digest(), "<u8") | _U(1)
+        power, inverse = powers(SLICE)
+        with np.errstate(over="ignore"):
+            sums = np.zeros(end - base + 1, np.uint64)
+            np.cumsum(_BYTE[data[base:end]] * power[: end - base], out=sums[1:])
+            h = mix(((sums[ends - base] - sums[starts - base]) * inverse[starts - base]) ^ (ends - starts).astype(np.uint64))
+        return h | _U(1)
 
     def encode(self, body: list[str]) -> list[bytes]:
-        whole = {i for i, t in enumerate(body) if self._WHOLE.search(t)}
-        split = [[] if i in whole else self._pieces(t) for i, t in enumerate(body)]
-        held = self.held
-        new = list({p for parts in split for p in parts if p and p not in held})
-        if len(held) + len(new) > HELD:
-            held = self.held = {}
-            new = list({p for parts in split for p in parts if p})
-        held.update(zip(new, self.library(new)))
-        done = dict(zip(sorted(whole), self.library([body[i] for i in sorted(whole)])))
-        return [done[i] if i in whole else b"".join(map(held.__getitem__, parts)) for i, parts in enumerate(split)]
+        whole = [i for i, t in enumerate(body) if self._WHOLE.search(t)]
+        done: list[bytes] = [b""] * len(body)
+        for i, ids in zip(whole, self.library([body[i] for i in whole])):
+            done[i] = ids
+        rest = np.setdiff1d(np.arange(len(body)), whole).tolist()
+        raw = [body[i].encode() for i in rest]
+        lens = np.array([len(r) for r in raw], np.int64)
+        offsets = np.append(0, np.cumsum(lens)).astype(np.int64)
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        begins = data == 32
+        begins[offsets[:-1][lens > 0]] = True
+        starts = np.flatnonzero(begins)
+        ids, counts, i = [np.zeros(0, "<u2")], [np.zeros(0, np.int64)], 0
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(starts, starts[i] + SLICE, side="right")) - 1)
+            if starts[-1] < starts[i] + SLICE and len(data) <= starts[i] + SLICE:
+                j = len(starts)
+            if self.held > HELD or self.used > HELD_IDS:
+                self._forget()
+            some, end = starts[i:j], int(starts[j]) if j < len(starts) else len(data)
+            keys = self._hashes(data, some, end)
+            at = self._slots(keys)
+            new = np.flatnonzero(self.keys[at] == 0)
+            if len(new):
+                key, one = np.unique(keys[new], return_index=True)
+                one = new[one]
+                self._learn(key, data, some[one], np.append(some[1:], end)[one] - some[one])
+                at[new] = self._slots(keys[new])
+            counts.append(self.count[at].astype(np.int64))
+            ids.append(self.flat[_ragged(self.first[at].astype(np.int64), counts[-1])])
+            i = j
+        flat, upto = np.concatenate(ids), np.append(0, np.cumsum(np.concatenate(counts)))
+        edge = upto[np.searchsorted(starts, offsets)].tolist()
+        for k, i in enumerate(rest):
+            done[i] = flat[edge[k] : edge[k + 1]].tobytes()
+        return done
 
 
 _LOADED: dict[str, Encoder] = {}
@@ -228,7 +337,8 @@ def read(spark: SparkSession, path: str, dtype: str = "<u4") -> DataFrame:
     def decode(parts):
         for part in parts:
             for row in part.to_pylist():
-                ids = expand(np.frombuffer(row["symbols"], "<u2"), np.frombuffer(row["rules"], "<u2").reshape(-1, 2), row["terminals"]).astype(dtype)
+                rules, sizes = np.frombuffer(row["rules"], "<u2").reshape(-1, 2), np.frombuffer(row["expansions"], "<u4")
+                ids = expand(np.frombuffer(row["symbols"], "<u2"), rules, row["terminals"], sizes).astype(dtype)
                 sizes = np.array(row["lengths"], np.int64)
                 starts = np.cumsum(sizes) - sizes
                 sums = [zlib.crc32(ids[a : a + k].tobytes()) for a, k in zip(starts.tolist(), row["lengths"])]

@@ -159,6 +159,7 @@ def test_grammar_round_trip_and_random_access():
     for ids in (rng.integers(0, 50, 20_000), np.tile(rng.integers(0, 50_257, 40), 500), np.zeros(5000, int), rng.integers(0, 50_257, 1), np.zeros(0, int)):
         symbols, rules, sizes = tokenfile.compress(ids.astype("<u2"), 50_257)
         assert tokenfile.expand(symbols, rules, 50_257).tolist() == ids.tolist()
+        assert tokenfile.expand(symbols, rules, 50_257, sizes).tolist() == ids.tolist()
         assert sum(sizes[s - 50_257] if s >= 50_257 else 1 for s in symbols.tolist()) == len(ids)
         for start in range(0, len(ids), max(1, len(ids) // 7)):
             assert tokenfile.slice_ids(symbols, rules, sizes, 50_257, start, 33).tolist() == ids[start : start + 33].tolist()
@@ -171,6 +172,18 @@ def test_pieces_of_text_encode_like_the_whole():
     assert encoder.encode(body) == encoder.library(body)
 
 
+def test_pieces_over_slices_and_full_tables(monkeypatch):
+    """Texts longer than a slice, words longer than one, and a table that is emptied on the way change no ids."""
+    pick = random.Random(8)
+    monkeypatch.setattr(tokenfile, "SLICE", 64)
+    monkeypatch.setattr(tokenfile, "HELD", 50)
+    encoder = tokenfile.Encoder(BYTES)
+    word = lambda: "".join(pick.choice("abé日x1\n") for _ in range(pick.choice([1, 3, 8, 8, 90])))
+    body = [" ".join(word() for _ in range(pick.choice([0, 1, 5, 60]))) for _ in range(300)] + ["", " a", "b" * 64, "c" * 65]
+    assert encoder.encode(body) == encoder.library(body)
+    assert encoder.encode([]) == [] and encoder.encode([""]) == [b""]
+
+
 def test_token_file_query(spark, sf, docs):
     encoder, start = tokenfile.Encoder(BYTES), 0
     got = {r.doc_id: r for r in run("op7_token_files", spark, sf)}
