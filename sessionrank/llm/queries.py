@@ -6,7 +6,7 @@ from functools import cache
 
 from pyspark.sql import functions as F
 
-from sessionrank.llm import common, mixing, neardup, neighbours, pii, setjoin, sharding, tokencount, tokenfile, toxicity
+from sessionrank.llm import common, fim, mixing, neardup, neighbours, pii, setjoin, sharding, tokencount, tokenfile, toxicity
 from sessionrank.llm import piece as pieces
 
 QUERIES = {}
@@ -100,3 +100,34 @@ def op9_toxicity(spark, sf_dir):
 def op10_rendezvous_shards(spark, sf_dir):
     placed = sharding.assign(_table(spark, sf_dir, "documents"), [1.0] * 16, grown=[1.0] * 17)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+@query
+def op11_fill_in_middle(spark, sf_dir):
+    made = fim.transform(_table(spark, sf_dir, "documents"), rate=100, spm=50, seed=7)
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+SQL["op11_fill_in_middle"] = r"""
+with units as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as u,
+    list_transform([1, 9, 17, 25], lambda k: ('0x' || substr(sha256('7:' || coalesce(doc_id::varchar, '')), k, 8))::bigint) as h
+  from documents
+), cut as (
+  select doc_id, text, u, len(u)::bigint as n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) as a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) as b,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h[3] % 100 >= 100 then 'plain'
+      when h[4] % 100 < 50 then 'spm' else 'psm' end as form
+  from units
+), parts as (
+  select doc_id, text, n, form, array_to_string(u[1:a], '') as p, array_to_string(u[a + 1:b], '') as m, array_to_string(u[b + 1:n], '') as s from cut
+)
+select doc_id, n, form,
+  case when form <> 'plain' then length(p)::bigint end as prefix_chars, case when form <> 'plain' then length(m)::bigint end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(text) as restored_sha256
+from parts
+"""
