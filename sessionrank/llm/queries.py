@@ -6,7 +6,7 @@ from functools import cache
 
 from pyspark.sql import functions as F
 
-from sessionrank.llm import common, fim, mixing, neardup, neighbours, pii, setjoin, sharding, tokencount, tokenfile, toxicity
+from sessionrank.llm import common, decontam, fim, mixing, neardup, neighbours, pii, setjoin, sharding, tokencount, tokenfile, toxicity
 from sessionrank.llm import piece as pieces
 
 QUERIES = {}
@@ -131,3 +131,42 @@ select doc_id, n, form,
   sha256(text) as restored_sha256
 from parts
 """
+
+
+@query
+def op13_decontamination(spark, sf_dir):
+    found = decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+SQL["op13_decontamination"] = r"""
+with item as (
+  select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark where text is not null
+), win as (
+  select distinct item_id, least(len(w), 10) as k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') as win
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from item where len(w) > 0)
+), doc as (
+  select row_number() over () as r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents
+), place as (
+  select r, k, i, array_to_string(w[i:i + k - 1], ' ') as win
+  from (select r, w, k, unnest(range(1, len(w) - k + 2)) as i from doc, (select distinct k from win) where len(w) >= k)
+), occ as (
+  select r, i, place.k as k, item_id from place join win on place.win = win.win and place.k = win.k
+), hits as (
+  select r, count(distinct p) as n_hit from (select r, unnest(range(i, i + k)) as p from occ) group by r
+), items as (
+  select r, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as ids
+  from (select distinct r, item_id from occ where item_id is not null) group by r
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from doc left join hits using (r) left join items using (r)
+"""
