@@ -6,7 +6,7 @@ from functools import cache
 
 from pyspark.sql import functions as F
 
-from sessionrank.llm import common, decontam, fim, mixing, neardup, neighbours, pii, setjoin, sharding, tokencount, tokenfile, toxicity
+from sessionrank.llm import common, decontam, fim, merkle, mixing, neardup, neighbours, pii, setjoin, sharding, tokencount, tokenfile, toxicity
 from sessionrank.llm import piece as pieces
 
 QUERIES = {}
@@ -133,6 +133,74 @@ from parts
 """
 
 
+@query
+def op12_merkle_manifest(spark, sf_dir):
+    """Leaves, roots and proofs, and whether the root shows that the line breaks of some rows were lost."""
+    docs = _table(spark, sf_dir, "documents")
+    of = merkle.columns_of(docs)
+    altered = F.crc32(of["doc_id"].cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(altered, merkle.leaf(*[F.replace(c, F.lit("\n"), F.lit("")) if name == "text" else c for name, c in of.items()]))
+    made = merkle.manifest(docs, {"tampered": tampered})
+    made = made.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("path")))
+    siblings = F.array_join(F.transform("path", lambda p: F.concat(p["before"], p["after"])), "")
+    return made.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(siblings.cast("binary"), 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+SQL["op12_merkle_manifest"] = r"""
+with recursive framed as (
+  select row_number() over (order by source nulls first, doc_id nulls first, lang, n_chars, text) as r, doc_id, source, text,
+    xor(list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint), lambda a, b:
+      list_reduce(range(8), lambda d, i: xor(d >> 1, (d & 1) * 3988292384), xor(a, b)), 4294967295::bigint), 4294967295::bigint) % 2 = 0 as even,
+    coalesce(strlen(doc_id::varchar) || ':' || doc_id::varchar, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::varchar) || ':' || n_chars::varchar, '-') as head
+  from documents
+), leaf as (
+  select r, doc_id, source, even, sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+    sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) as bare
+  from framed
+), placed as (
+  select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as slot, count(*) over (partition by source) as n from leaf
+), tree as (
+  select 0 as lvl, source, slot, leaf as h, n from placed
+  union all
+  select lvl + 1, source, slot // 3, sha256(string_agg(h, '' order by slot)), (any_value(n) + 2) // 3 from tree where n > 1 group by lvl, source, slot // 3
+), sub as (
+  select source, h as subroot, row_number() over (order by source nulls first) - 1 as place, count(*) over () as n from tree where n = 1
+), top as (
+  select 0 as lvl, place as slot, subroot as h, n from sub
+  union all
+  select lvl + 1, slot // 3, sha256(string_agg(h, '' order by slot)), (any_value(n) + 2) // 3 from top where n > 1 group by lvl, slot // 3
+), way as (
+  select r, 0 as part, lvl, placed.source, (slot // (3 ** lvl)::bigint) as node from placed, (select distinct lvl from tree where n > 1)
+), steps as (
+  select r, part, way.lvl as lvl, coalesce(string_agg(h, '' order by slot) filter (slot < node), '') as before, coalesce(string_agg(h, '' order by slot) filter (slot > node), '') as after
+  from way join tree on tree.lvl = way.lvl and tree.source is not distinct from way.source and tree.slot // 3 = node // 3 and tree.n > 1
+  group by r, part, way.lvl
+  union all
+  select r, 1, top.lvl, coalesce(string_agg(top.h, '' order by top.slot) filter (top.slot < place // (3 ** top.lvl)::bigint), ''),
+    coalesce(string_agg(top.h, '' order by top.slot) filter (top.slot > place // (3 ** top.lvl)::bigint), '')
+  from placed join sub on sub.source is not distinct from placed.source join top on top.n > 1 and top.slot // 3 = place // (3 ** (top.lvl + 1))::bigint
+  group by r, top.lvl
+), path as (
+  select *, row_number() over (partition by r order by part, lvl) as k from steps
+), fold as (
+  select r, 0 as k, case when even then bare else leaf end as h from leaf
+  union all
+  select fold.r, fold.k + 1, sha256(before || h || after) from fold join path on path.r = fold.r and path.k = fold.k + 1
+), folded as (
+  select r, arg_max(h, k) as folded_root from fold group by r
+), proofs as (
+  select r, sha256(string_agg(before || after, '' order by k)) as proof_sha256 from path group by r
+)
+select doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) as proof_sha256, folded_root, folded_root = root as verified
+from placed join sub on sub.source is not distinct from placed.source join (select h as root from top where n = 1) on true
+  join folded using (r) left join proofs using (r)
+"""
+
+
 @query
 def op13_decontamination(spark, sf_dir):
     found = decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
