@@ -112,13 +112,27 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50)
     return w
 
 
-def fit_texts(body: list[str], toxic: list[int], dictionary: int = DICTIONARY) -> Model:
-    """A model from labelled texts: even places train the dictionaries, odd ones calibrate."""
+def log_odds(toxic: float, other: float) -> float:
+    return float(np.log((toxic + 0.5) / (other + 0.5)))
+
+
+UNSURE = float(np.log(0.49 / 0.51))  # the most that is said of a text without dictionaries
+
+
+def fit_texts(body: list[str], toxic: list[int], dictionary: int = DICTIONARY, odds: float | None = None) -> Model:
+    """A model from labelled texts: even places train the dictionaries, odd ones calibrate.
+
+    ``odds`` are the log odds of the toxic class among all labelled rows, if the texts are a
+    sample with other ones; the curve is moved by the difference. Where the texts give no
+    dictionaries, nothing can be told: every score is the share of the class, and below 0.5.
+    """
     y = np.array(toxic, float)
-    prior = (float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))), 0.0, 0.0)
+    drawn = log_odds(y.sum(), len(y) - y.sum())
+    moved = (drawn if odds is None else odds) - drawn
+    untold = Model(b"", b"", 1, (min(drawn + moved, UNSURE), 0.0, 0.0))
     train = list(range(0, len(body), 2))
     if len(set(toxic)) < 2 or len({toxic[i] for i in train}) < 2:
-        return Model(b"", b"", 1, prior)
+        return untold
 
     def trained(k: int, rows: list[int]) -> bytes:
         """Windows that many rows of the class hold, the commonest at the end, where they are cheapest to refer to; for the toxic one only what sets it apart."""
@@ -132,7 +146,7 @@ def fit_texts(body: list[str], toxic: list[int], dictionary: int = DICTIONARY) -
 
     bodies = [trained(k, train) for k in (1, 0)]
     if min(map(len, bodies)) < 8:
-        return Model(b"", b"", 1, prior)
+        return untold
     distances = Distances(*bodies)
     tune = list(range(1, len(body), 2))
     if len({toxic[i] for i in tune}) < 2:
@@ -147,7 +161,7 @@ def fit_texts(body: list[str], toxic: list[int], dictionary: int = DICTIONARY) -
         if best is None or loss < best[0]:
             best = (loss, margin, tuple(map(float, w)))
     # the curve is set; the dictionaries may now learn from all rows
-    return Model(*[trained(k, list(range(len(body)))) for k in (1, 0)], best[1], best[2])
+    return Model(*[trained(k, list(range(len(body)))) for k in (1, 0)], best[1], (best[2][0] + moved, *best[2][1:]))
 
 
 def held_out(ident) -> F.Column:
@@ -164,6 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """
     given = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     given = given.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    n = dict(given.groupBy("toxic").count().collect())
     picked = None
     for k in (0, 1):
         part = given.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2)
@@ -172,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = fixed_columns(docs, "doc_id", "text").where("text is not null").join(small_or_shuffled(picked, sample), "doc_id")
     found = rows.select("doc_id", body.alias("text"), "toxic", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id", "text").limit(2 * sample).collect()
     order = sorted(range(len(found)), key=lambda i: found[i].toxic)  # classes apart, so that each is halved
-    return fit_texts([found[i].text for i in order], [found[i].toxic for i in order])
+    return fit_texts([found[i].text for i in order], [found[i].toxic for i in order], odds=log_odds(n.get(1, 0), n.get(0, 0)))
 
 
 def score_texts(model: Model, body: list[str], distances: Distances | None) -> np.ndarray:
@@ -216,7 +231,10 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` without the rows that score as toxic; columns, repeats and nulls as they were."""
+    """``docs`` without the rows that score as toxic; columns, repeats and nulls as they were.
+
+    A model without dictionaries scores no row as toxic, so that all rows stay.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
