@@ -6,13 +6,16 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import FMClassifier, GBTClassifier, LogisticRegression
+from pyspark.ml.classification import FMClassifier, LogisticRegression
 from pyspark.ml.feature import IDF, FeatureHasher, HashingTF, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.regression import GBTRegressionModel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionrank.functions.rates import sigmoid
+from sessionrank.models.boosting import MOST_ROUNDS, PATIENCE, REFIT_ROUNDS, STEP, Boosted, Logistic, SessionSquares, Settings, boost
+from sessionrank.models.pairwise import fit_pairs, linear_model
 from sessionrank.operators.encode import add_sample_weights, any_positive, weighted_relevance
 from sessionrank.operators.ranking import group_auc
 
@@ -21,41 +24,60 @@ SEED = 42
 
 @dataclass(frozen=True)
 class Trees:
-    """Boosting settings. Rounds default to the full-data fits of the two heads."""
+    """Boosting settings of the heads. Rounds are the most that are made; on held-out rows patience ends them sooner."""
 
-    rounds: Mapping[str, int] = field(default_factory=lambda: {"ordered": 486, "clicked": 1421, "any": 486})
+    rounds: Mapping[str, int] = field(default_factory=lambda: dict.fromkeys(REFIT_ROUNDS, MOST_ROUNDS))
     depth: int = 6
-    step: float = 0.025183
+    step: float = STEP
     subsample: float = 0.8
+    patience: int = PATIENCE
+    every: int = 10
+
+    def of(self, label: str) -> Settings:
+        return Settings(self.rounds[label], self.patience, self.every, self.depth, self.step, self.subsample, seed=SEED)
 
 
 def assembler(features: Sequence[str], out: str = "features") -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep")
 
 
-def class_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """Positives weigh negatives / positives, negatives 1."""
+def balance(df: DataFrame, label: str) -> Column:
+    """The weight of a row: negatives / positives of ``df`` if it is positive, 1 if not."""
     n, pos = F.count(F.lit(1)).cast("double"), F.sum(label).cast("double")
     ratio = df.select(F.greatest(n - pos, F.lit(1.0)) / F.greatest(pos, F.lit(1.0))).scalar()
-    return df.withColumn(out, F.when(F.col(label) > 0, ratio).otherwise(1.0))
+    return F.when(F.col(label) > 0, ratio).otherwise(1.0)
+
+
+def class_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
+    """Positives weigh negatives / positives, negatives 1."""
+    return df.withColumn(out, balance(df, label))
+
+
+def boosted_head(train: DataFrame, label: str, features: Sequence[str], trees: Trees, validation: str | None = None, session: str = "session_id", item: str = "content_id") -> Boosted:
+    """The boosting of one head: weighted log loss, classes balanced on the rows it learns from."""
+    learned = train if validation is None else train.where(~F.col(validation))
+    weighted = train if "weight" in train.columns else train.withColumn("weight", balance(learned, label))
+    keep = [session, item, label, "weight", *([validation] if validation else [])]
+    rows = assembler(features).transform(weighted).select(*keep, "features")
+    return boost(rows, Logistic(label), trees.of(label), validation, label, session, item)
 
 
 def fit_head(train: DataFrame, label: str, features: Sequence[str], trees: Trees, validation: str | None = None) -> PipelineModel:
-    """One boosted-tree classifier; with a validation flag it stops when validation stops improving."""
-    gbt = GBTClassifier(
-        labelCol=label, featuresCol="features", weightCol="weight", maxIter=trees.rounds[label], maxDepth=trees.depth, stepSize=trees.step,
-        subsamplingRate=trees.subsample, seed=SEED,
-    )
-    if validation:
-        gbt = gbt.setValidationIndicatorCol(validation)
-    weighted = train if "weight" in train.columns else class_weight(train, label)
-    return Pipeline(stages=[assembler(features), gbt]).fit(weighted)
+    """One boosted head; with a flag of held-out rows it stops when their session AUC stops improving and keeps the best round."""
+    return PipelineModel([assembler(features), boosted_head(train, label, features, trees, validation).model()])
 
 
 def positive_probability(model: PipelineModel, df: DataFrame, out: str) -> DataFrame:
     """Rows with the model's probability of the positive class."""
-    scored = model.transform(df).withColumn(out, vector_to_array("probability")[1])
-    return scored.select(*df.columns, out)
+    scored = model.transform(df)
+    value = sigmoid(F.col("prediction")) if isinstance(model.stages[-1], GBTRegressionModel) else vector_to_array("probability")[1]
+    return scored.withColumn(out, value).select(*df.columns, out)
+
+
+def full_refit(rows: DataFrame, features: Sequence[str], rounds: Mapping[str, int] = REFIT_ROUNDS, trees: Trees = Trees(), labels: Sequence[str] = ("ordered", "clicked")) -> dict[str, PipelineModel]:
+    """The heads on all rows with fixed rounds, 486 and 1,421 unless told otherwise; nothing is held out."""
+    fixed = Trees(rounds, trees.depth, trees.step, trees.subsample, trees.patience, trees.every)
+    return fit_heads(rows, features, fixed, labels)
 
 
 def fit_heads(train: DataFrame, features: Sequence[str], trees: Trees, labels: Sequence[str] = ("ordered", "clicked"), validation: str | None = None) -> dict[str, PipelineModel]:
@@ -72,25 +94,33 @@ def score_heads(models: Mapping[str, PipelineModel], df: DataFrame) -> DataFrame
     return df
 
 
-def fit_single(train: DataFrame, features: Sequence[str], trees: Trees) -> PipelineModel:
+def fit_single(train: DataFrame, features: Sequence[str], trees: Trees, validation: str | None = None) -> PipelineModel:
     """One classifier on ordered-or-clicked with label-mix weights."""
-    return fit_head(add_sample_weights(train.withColumn("any", any_positive())), "any", features, trees)
+    return fit_head(add_sample_weights(train.withColumn("any", any_positive())), "any", features, trees, validation)
+
+
+def fit_session_ranker(train: DataFrame, features: Sequence[str], settings: Settings, validation: str | None = None, label: str = "ordered", session: str = "session_id", item: str = "content_id") -> Boosted:
+    """Boosted ranker on graded relevance: in every round errors are centred anew per session, so that only the order within one counts.
+
+    With a flag of held-out rows the session AUC of ``label`` on them stops it.
+    """
+    rows = assembler(features).transform(train.withColumn("_rel", weighted_relevance().cast("double")))
+    rows = rows.select(session, item, label, "_rel", *([validation] if validation else []), "features")
+    return boost(rows, SessionSquares("_rel", session), settings, validation, label, session, item)
 
 
-def fit_centred_ranker(train: DataFrame, features: Sequence[str], rounds: int, depth: int = 4, session: str = "session_id") -> PipelineModel:
-    """Regression on graded relevance minus its session mean: only order within a session counts."""
-    graded = train.withColumn("_rel", weighted_relevance())
-    means = graded.groupBy(session).agg(F.avg("_rel").alias("_mean"))
-    centred = graded.join(means, session).withColumn("_target", F.col("_rel") - F.col("_mean"))
-    gbt = GBTRegressor(labelCol="_target", featuresCol="features", maxIter=rounds, maxDepth=depth, seed=SEED)
-    return Pipeline(stages=[assembler(features), gbt]).fit(centred)
+def fit_centred_ranker(train: DataFrame, features: Sequence[str], rounds: int, depth: int = 4, step: float = 0.1, session: str = "session_id") -> PipelineModel:
+    """The session ranker with a fixed number of rounds on all rows."""
+    made = fit_session_ranker(train, features, Settings(rounds, depth=depth, step=step, subsample=1.0, seed=SEED), session=session)
+    return PipelineModel([assembler(features), made.model()])
 
 
 def preference_rows(train: DataFrame, features: Sequence[str], label: str, session: str = "session_id") -> DataFrame:
     """Each positive minus the mean negative of its session, and the same mirrored.
 
     Two rows per positive instead of one per (positive, negative) pair, so a session of any
-    size costs what its rows cost. For a linear model the differences have the same mean.
+    size costs what its rows cost. For a linear model the differences have the same mean; for
+    the loss of every single pair see ``fit_preferences``.
     """
     negative = F.col(label) == 0
     means = train.groupBy(session).agg(
@@ -104,10 +134,10 @@ def preference_rows(train: DataFrame, features: Sequence[str], label: str, sessi
     )
 
 
-def fit_preferences(train: DataFrame, features: Sequence[str], label: str = "ordered", session: str = "session_id") -> PipelineModel:
-    """Linear ranker on within-session preferences; its score orders items of a session."""
-    linear = LogisticRegression(labelCol="preferred", featuresCol="features", weightCol="weight", fitIntercept=False, maxIter=20, regParam=0.001)
-    return Pipeline(stages=[assembler(features), linear]).fit(preference_rows(train, features, label, session))
+def fit_preferences(train: DataFrame, features: Sequence[str], label: str = "ordered", session: str = "session_id", item: str = "content_id", rounds: int = 30, ridge: float = 1e-3) -> PipelineModel:
+    """Linear ranker on all (positive, negative) pairs of a session; its score orders items of a session."""
+    weights, _ = fit_pairs(train, features, label, ridge, rounds, session, item)
+    return PipelineModel([assembler(features), linear_model(weights)])
 
 
 def raw_score(model: PipelineModel, df: DataFrame, out: str = "score") -> DataFrame:
