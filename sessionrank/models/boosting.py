@@ -104,7 +104,7 @@ class Boosted:
         weights = context._gateway.new_array(jvm.double, len(self.trees))
         for i, t in enumerate(self.trees):
             trees[i], weights[i] = t._java_obj, self.step
-        made = GBTRegressionModel(jvm.org.apache.spark.ml.regression.GBTRegressionModel(f"boosted_{uuid.uuid4().hex[:12]}", trees, weights))
+        made = GBTRegressionModel(jvm.org.apache.spark.ml.regression.GBTRegressionModel(f"boosted_{uuid.uuid4().hex[:12]}", trees, weights, self.trees[0].numFeatures))
         return made.setFeaturesCol("features").setPredictionCol("prediction")
 
 
@@ -121,17 +121,20 @@ def sampled(keys: Sequence[str], share: float, seed: int) -> Column:
     return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
 
 
-def boost(rows: DataFrame, loss, settings: Settings, held_out: str | None = None, label: str | None = None, session: str = "session_id", item: str = "content_id", watch_loss: bool = False) -> Boosted:
+def boost(rows: DataFrame, loss, settings: Settings, held_out: str | None = None, label: str | None = None, session: str = "session_id", item: str = "content_id", watch_loss: bool = False, after: Boosted | None = None) -> Boosted:
     """Boosted trees on ``rows`` with a vector column ``features``.
 
     ``held_out`` names a flag of rows that are only looked at: by their session AUC of ``label``
     the loop stops and the best round is chosen. Without it all ``rounds`` are made and kept.
+    ``after`` goes on from the trees of an earlier run; ``rounds`` counts these too.
     """
     empty = F.array().cast("array<double>")
-    state = durable(rows.withColumn("_f", F.lit(0.0)).withColumn("_path", empty))
-    trees, history, losses, best = [], [], [], (0, float("-inf"))
+    trees = list(after.trees) if after else []
+    begun = after.model().setPredictionCol("_f").transform(rows) if trees else rows.withColumn("_f", F.lit(0.0))
+    state = durable(begun.withColumn("_path", empty))
+    history, losses, best = [], [], (len(trees), float("-inf"))
     kept = F.lit(True) if held_out is None else ~F.col(held_out)
-    for r in range(1, settings.rounds + 1):
+    for r in range(len(trees) + 1, settings.rounds + 1):
         steps = durable(loss.steps(state)) if loss.exchanges else loss.steps(state)
         chosen = steps.where(kept)
         if settings.subsample < 1:

@@ -7,15 +7,18 @@ can say of it: the rows it scored, none without a score, none out of range.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionrank.models import boosting, heads
+from sessionrank.models import boosting, heads, tuning
 from sessionrank.operators import encode, history, ranking, splits
 from sessionrank.operators.history import Running
-from sessionrank.plans.registry import query
+from sessionrank.plans.registry import query, views
 from sessionrank.session import durable, output_path
 from sessionrank.sources import fixtures as fx
 from sessionrank.sources.tables import table
@@ -61,6 +64,39 @@ def _flagged(train, val):
     return train.withColumn("held_out", F.lit(False)).unionByName(val.withColumn("held_out", F.lit(True)))
 
 
+_SCORED: dict[tuple[str, str, str], DataFrame] = {}
+
+SCORED_ROWS = """,
+parts as (select count(*) as n, cast(trunc(count(*) * cast(0.85 as double)) as bigint) as head from sessions)
+select {rows} as n_rows, cast(0 as bigint) as n_missing, cast(0 as bigint) as n_outside from parts"""
+
+
+def scored(name: str, scores: Sequence[str], rows: str = "n - head", low: float | None = 0.0, high: float | None = 1.0):
+    """Registers a query of scores, and ``check_`` of it: rows, rows without a finite score, rows out of range.
+
+    The scores are written once per application and folder, so that both read the same ones.
+    """
+
+    def add(fn):
+        def run(spark, sf):
+            key = (spark.sparkContext.applicationId, sf, name)
+            if key not in _SCORED:
+                _SCORED[key] = durable(fn(spark, sf))
+            return _SCORED[key]
+
+        def check(spark, sf):
+            cols = [F.col(c) for c in scores]
+            missing = reduce(lambda a, b: a | b, [c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")) for c in cols])
+            outside = reduce(lambda a, b: a | b, [(c < low) | (c > high) for c in cols]) if low is not None else F.lit(False)
+            return run(spark, sf).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(missing).alias("n_missing"), F.count_if(outside).alias("n_outside"))
+
+        query(name)(run)
+        query(f"check_{name}", views("sessions") + SCORED_ROWS.format(rows=rows))(check)
+        return fn
+
+    return add
+
+
 _HEADS: dict[tuple[str, str], dict] = {}
 
 
@@ -72,27 +108,27 @@ def dual_heads(spark, sf):
     return _HEADS[key]
 
 
-@query("train_dual_heads")
+@scored("train_dual_heads", ["p_order", "p_click"], rows="n")
 def train_dual_heads(spark, sf):
     train, val = frame(spark, sf)
     rows = _flagged(train, val)
     return heads.score_heads(dual_heads(spark, sf), rows).select(*ROW, "p_order", "p_click")
 
 
-@query("train_single_weighted")
+@scored("train_single_weighted", ["p_any"])
 def train_single_weighted(spark, sf):
     train, val = frame(spark, sf)
     return heads.positive_probability(heads.fit_single(_flagged(train, val), INPUTS, SOME, validation="held_out"), val, "p_any").select(*ROW, "p_any")
 
 
-@query("train_three_heads")
+@scored("train_three_heads", ["p_order", "p_any", "p_click"])
 def train_three_heads(spark, sf):
     train, val = (df.withColumn("any", encode.any_positive()) for df in frame(spark, sf))
     third = heads.fit_head(_flagged(train, val), "any", INPUTS, SOME, validation="held_out")
     return heads.score_heads({**dual_heads(spark, sf), "any": third}, val).select(*ROW, "p_order", "p_any", "p_click")
 
 
-@query("rank_query_rmse")
+@scored("rank_query_rmse", ["score"], low=None)
 def rank_query_rmse(spark, sf):
     train, val = frame(spark, sf)
     settings = boosting.Settings(rounds=10, patience=5, every=5, depth=4, step=0.1, subsample=1.0)
@@ -100,42 +136,37 @@ def rank_query_rmse(spark, sf):
     return heads.raw_score(PipelineModel([heads.assembler(INPUTS), made.model()]), val).select(*ROW, "score")
 
 
-@query("rank_pairwise_linear")
+@scored("rank_pairwise_linear", ["score"], low=None)
 def rank_pairwise_linear(spark, sf):
     train, val = frame(spark, sf)
     scaled_train, scaled_val = (encode.scale_standard(train, df, INPUTS) for df in (train, val))
     return heads.raw_score(heads.fit_preferences(scaled_train, INPUTS), scaled_val).select(*ROW, "score")
 
 
-@query("train_factorization_machine")
+@scored("train_factorization_machine", ["p_order"])
 def train_factorization_machine(spark, sf):
     train, val = frame(spark, sf)
     scaled_train, scaled_val = (encode.scale_standard(train, df, INPUTS) for df in (train, val))
-    return heads.positive_probability(heads.fit_factorization(scaled_train, INPUTS, "ordered", rounds=10), scaled_val, "p_order").select(*ROW, "p_order")
+    return heads.positive_probability(heads.fit_factorization(scaled_train, INPUTS, "ordered", rounds=40), scaled_val, "p_order").select(*ROW, "p_order")
 
 
-@query("train_wide_linear")
+@scored("train_wide_linear", ["p_click"])
 def train_wide_linear(spark, sf):
     train, val = frame(spark, sf)
-    model = heads.fit_wide(train, ["leaf_category", "gender", "birth_year"], "clicked", rounds=5)
+    model = heads.fit_wide(train, ["leaf_category", "gender", "birth_year"], "clicked", rounds=30)
     return heads.positive_probability(model, val, "p_click").select(*ROW, "p_click")
 
 
-@query("tune_parameters")
-def tune_parameters(spark, sf):
-    train, val = frame(spark, sf)
-    weighted = heads.class_weight(train, "ordered")
+# The searched settings: two depths, two steps; 1, 2 and at last 4 rounds here.
+GRID = [boosting.Settings(rounds=4, depth=d, step=s, every=2, subsample=0.8) for d in (3, 5) for s in (0.05, 0.2)]
 
-    def fit(rows, setting):
-        linear = LogisticRegression(labelCol="ordered", weightCol="weight", maxIter=5, regParam=setting["reg"], elasticNetParam=setting["mix"])
-        return Pipeline(stages=[heads.assembler(INPUTS), linear]).fit(rows)
 
-    settings = [{"reg": r, "mix": m} for r in (0.001, 0.1) for m in (0.0, 1.0)]
-    results = heads.tune(weighted, val, settings, fit)
-    return spark.createDataFrame([(s["reg"], s["mix"], score) for s, score in results], "reg double, mix double, score double")
+@query("tune_parameters")
+def tune_parameters(spark, sf):
+    return tuning.table(spark, tuning.halving(*frame(spark, sf), INPUTS, GRID, least=1))
 
 
-@query("score_batch")
+@scored("score_batch", ["p_click"])
 def score_batch(spark, sf):
     _, val = frame(spark, sf)
     path = output_path(spark, "model")
@@ -154,7 +185,7 @@ def top_feature_importance(spark, sf):
     return found.orderBy(F.desc("importance"), F.asc("feature"))
 
 
-@query("full_refit")
+@scored("full_refit", ["p_order", "p_click"], rows="n")
 def full_refit(spark, sf):
     train, val = frame(spark, sf)
     rows = train.unionByName(val)
@@ -170,7 +201,7 @@ def holdout_group_auc(spark, sf):
 
 @query("vectorize_text")
 def vectorize_text(spark, sf):
-    vectors = heads.text_vectors(table(spark, sf, "documents").select("doc_id", "text"), "text", size=256)
+    vectors = heads.text_vectors(table(spark, sf, "documents").select("doc_id", "text"), "text", size=1 << 14)
     weights = vector_to_array("vector")
     return vectors.select(
         "doc_id", F.size(F.filter(weights, lambda x: x > 0)).alias("n_terms"), F.sqrt(F.aggregate(weights, F.lit(0.0), lambda a, x: a + x * x)).alias("norm")

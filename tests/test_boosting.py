@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from sessionrank.models import boosting, heads, pairwise
+from sessionrank.models import boosting, heads, pairwise, tuning
 from sessionrank.operators import ranking
 from sessionrank.session import durable, output_path
 
@@ -144,3 +144,26 @@ def test_pairwise_optimum(planted):
 def test_no_pairs(spark):
     df = spark.createDataFrame([(1, 1, 1, 0.5, 0.1)], "session_id bigint, content_id bigint, ordered int, x double, noise double")
     assert pairwise.fit_pairs(df, COLS, "ordered")[0].tolist() == [0.0, 0.0]
+
+
+def test_resumed_rounds_equal_one_run(planted):
+    rows = heads.assembler(COLS).transform(heads.class_weight(planted, "clicked"))
+    settings = boosting.Settings(rounds=4, depth=2, step=0.3, subsample=0.7, every=3)
+    whole = boosting.boost(rows, boosting.Logistic("clicked"), settings)
+    half = boosting.boost(rows, boosting.Logistic("clicked"), boosting.Settings(rounds=2, depth=2, step=0.3, subsample=0.7, every=3))
+    both = boosting.boost(rows, boosting.Logistic("clicked"), settings, after=half)
+    a, b = (m.model().transform(rows).select("content_id", F.col("prediction").alias(n)) for m, n in ((whole, "p"), (both, "q")))
+    assert a.join(b, "content_id").where("abs(p - q) < 1e-9").count() == 1200 and len(both.trees) == 4
+    assert len(heads.importances(PipelineModel([heads.assembler(COLS), whole.model()]), COLS).collect()) == 2
+
+
+def test_halving_keeps_the_better_settings(planted, spark):
+    """A step that cannot learn leaves at the first rung; the winner has the most rounds and its score is the group AUC."""
+    grid = [boosting.Settings(rounds=4, depth=2, step=s, subsample=1.0, every=2) for s in (-0.3, 0.3, -0.1, 0.1)]
+    train, val = planted.where("not held_out"), planted.where("held_out")
+    trials = tuning.halving(train, val, COLS, grid, least=1)
+    assert [t.rung for t in trials] == [2, 1, 0, 0] and {t.number for t in trials[:2]} == {1, 3}
+    assert [len(t.heads["ordered"].trees) for t in trials] == [4, 2, 1, 1]
+    assert trials[0].score > 0.7 > 0.5 > max(t.score for t in trials[2:])
+    again = tuning.table(spark, tuning.halving(train, val, COLS, grid, least=1)).collect()
+    assert again == tuning.table(spark, trials).collect() and again[0].place == 1
