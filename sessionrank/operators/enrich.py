@@ -11,6 +11,7 @@ from sessionrank.functions.dates import calendar_parts
 from sessionrank.functions.rates import smoothed
 from sessionrank.operators.clean import fill_by_type
 from sessionrank.operators.history import Latest, Running, as_of
+from sessionrank.session import durable
 
 
 def site_rates(prefix: str) -> dict:
@@ -36,8 +37,9 @@ def enrich(
 
     ``logs`` maps an output prefix to (log, keys, time column, counters). Logs and prices
     with the same keys share one timeline, so the session rows are exchanged once per
-    distinct key set and not once per log. Timelines take their hours from the narrow
-    session table, and the widest payload is joined last.
+    distinct key set and not once per log; entries that name the same log share its scan. The
+    narrow session table is written once; it gives every timeline its hours and the joins
+    their left side. The widest payload is joined last.
     """
     by_keys: dict[tuple, list] = {("content_id",): [prices]}
     derived, totals = {}, []
@@ -48,9 +50,9 @@ def enrich(
     def width(sources: list) -> int:
         return sum(len(s.columns if isinstance(s, Latest) else s.sums) for s in sources)
 
-    out = sessions
+    out = known = durable(sessions)
     for keys, sources in sorted(by_keys.items(), key=lambda part: width(part[1])):
-        out = as_of(out, list(keys), sources, asked=sessions)
+        out = as_of(out, list(keys), sources, asked=known)
     out = out.join(content, "content_id", "left").join(users, "user_id", "left")
     parts = calendar_parts(F.col("ts_hour"))
     out = out.withColumns({

@@ -63,36 +63,44 @@ def as_of(
     """Left rows with every source's state at or before (``strict``: before) the row's hour.
 
     A key without history gets nulls. All sources of one key share one timeline: one
-    aggregation, one sort and one join, however many sources there are. ``asked`` names a
-    cheaper frame with the same keys and times, for a left side that is itself a long plan.
+    aggregation, one sort and one join, however many sources there are; sources with the same
+    log (the same frame) and time also share one scan of it. ``asked`` names a cheaper frame with the same keys and times, for a left side that is itself a long plan.
     """
     wanted = (left if asked is None else asked).select(*keys, floor_hour(ts).alias("_hour"), F.lit(1).alias("_asked"))
     stacked = wanted.dropna(subset=[*keys, "_hour"])
     merges, reads = [F.max("_asked").alias("_asked")], []
     frame = _past(keys, "_hour", strict)
+    # sources that share a log and its time are read from one pass over it
+    shared: dict[tuple[int, str], list[tuple[int, Running | Latest]]] = {}
     for i, source in enumerate(sources):
-        hour = floor_hour(source.ts).alias("_hour")
-        if isinstance(source, Latest):
-            slot = f"_s{i}"
-            rows = source.log.select(*keys, hour, F.struct(*source.columns).alias(slot))
-            merges.append(F.max(slot).alias(slot))
-            newest = F.last(slot, ignorenulls=True).over(frame).alias(slot)
-            reads.append(([newest], [F.col(f"{slot}.{c}").alias(c) for c in source.columns]))
-        else:
-            seen = f"_n{i}"
-            slots = {f"_c{i}_{j}": c for j, c in enumerate(source.sums.values())}
-            rows = source.log.select(*keys, hour, F.lit(1).alias(seen), *[_col(c).alias(s) for s, c in slots.items()])
+        shared.setdefault((id(source.log), source.ts), []).append((i, source))
+    for g, ((_, time), group) in enumerate(shared.items()):
+        columns, seen = [], f"_n{g}"
+        if any(isinstance(source, Running) for _, source in group):
+            columns.append(F.lit(1).alias(seen))
             merges.append(F.max(seen).alias(seen))
-            merges.extend(F.sum(s).alias(s) for s in slots)
-            known = F.max(seen).over(frame)
-            totals = [F.when(known == 1, F.coalesce(F.sum(s).over(frame), F.lit(0))).alias(s) for s in slots]
-            reads.append((totals, [F.col(s).alias(n) for s, n in zip(slots, source.sums)]))
+        for i, source in group:
+            if isinstance(source, Latest):
+                slot = f"_s{i}"
+                columns.append(F.struct(*source.columns).alias(slot))
+                merges.append(F.max(slot).alias(slot))
+                newest = F.last(slot, ignorenulls=True).over(frame).alias(slot)
+                reads.append((i, [newest], [F.col(f"{slot}.{c}").alias(c) for c in source.columns]))
+            else:
+                slots = {f"_c{i}_{j}": c for j, c in enumerate(source.sums.values())}
+                columns += [_col(c).alias(s) for s, c in slots.items()]
+                merges.extend(F.sum(s).alias(s) for s in slots)
+                known = F.max(seen).over(frame)
+                totals = [F.when(known == 1, F.coalesce(F.sum(s).over(frame), F.lit(0))).alias(s) for s in slots]
+                reads.append((i, totals, [F.col(s).alias(n) for s, n in zip(slots, source.sums)]))
+        rows = group[0][1].log.select(*keys, floor_hour(time).alias("_hour"), *columns)
         stacked = stacked.unionByName(rows.dropna(subset=[*keys, "_hour"]), allowMissingColumns=True)
+    reads.sort(key=lambda read: read[0])
     timeline = (
         stacked.groupBy(*keys, "_hour").agg(*merges)
-        .select(*keys, "_hour", "_asked", *[c for totals, _ in reads for c in totals])
+        .select(*keys, "_hour", "_asked", *[c for _, totals, _ in reads for c in totals])
         .where("_asked = 1")
-        .select(*keys, "_hour", *[c for _, outputs in reads for c in outputs])
+        .select(*keys, "_hour", *[c for *_, outputs in reads for c in outputs])
     )
     return _meet(left, timeline, keys, ts)
 

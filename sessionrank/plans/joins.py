@@ -194,12 +194,22 @@ def asof_enrich_all(spark, sf):
 
 def enriched(spark, sf):
     """Sessions with every static and as-of feature, nulls filled by type."""
+    items, shoppers = fx.item_log(spark, sf), fx.shopper_log(spark, sf)
+    search = {"impression": "impression", "click": "search_click"}
+    logs = {
+        "csw": (items, ["content_id"], "date", SITE),
+        "cs": (items, ["content_id"], "date", search),
+        "tc": (fx.content_top_terms_log(spark, sf), ["content_id", "search_term"], "date", SEARCH),
+        "usw": (shoppers, ["user_id"], "ts_hour", SITE),
+        "us": (shoppers, ["user_id"], "ts_hour", search),
+        "ts": (fx.term_search_log(spark, sf), ["search_term"], "ts_hour", SEARCH),
+    }
     return enrich(
         fx.sessions(spark, sf, term=True).select(*SESSION_KEEP, "search_term", "ordered", "clicked"),
         fx.content_metadata(spark, sf).select("content_id", "leaf_category", *META_NUM),
         fx.user_metadata(spark, sf),
-        Latest(fx.content_price(spark, sf), PRICE_COLS, "update_date"),
-        {p: (getattr(fx, log)(spark, sf), keys, ts, names) for p, (log, keys, ts, names) in RUNNING_PARTS.items()},
+        Latest(items, PRICE_COLS, "date"),
+        logs,
     )
 
 

@@ -57,17 +57,7 @@ def content_metadata(spark: SparkSession, sf: str) -> DataFrame:
 
 def content_price(spark: SparkSession, sf: str) -> DataFrame:
     """Price snapshots; several may share one (item, day)."""
-    original = F.col("l_extendedprice") / F.col("l_quantity")
-    return table(spark, sf, "lineitem").select(
-        F.col("l_partkey").alias("content_id"),
-        F.col("l_shipdate").alias("update_date"),
-        (original * (F.lit(1.0) - F.col("l_discount"))).alias("selling_price"),
-        original.alias("original_price"),
-        F.col("l_quantity").alias("review_count"),
-        F.floor(F.col("l_quantity") / 3).cast("double").alias("media_review_count"),
-        F.col("l_linenumber").cast("double").alias("rate_count"),
-        (F.lit(1.0) + F.col("l_tax") * 50).alias("rate_avg"),
-    )
+    return table(spark, sf, "lineitem").select(F.col("l_partkey").alias("content_id"), F.col("l_shipdate").alias("update_date"), *_prices())
 
 
 def content_sitewide_log(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,6 +68,12 @@ def content_search_log(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select(F.col("l_partkey").alias("content_id"), F.col("l_shipdate").alias("date"), *_search())
 
 
+def item_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Prices, site counters and search counters of items in one frame, so that one scan feeds them all."""
+    counters = [*_site(), F.col("l_quantity").alias("impression"), F.lit(1).alias("search_click")]
+    return table(spark, sf, "lineitem").select(F.col("l_partkey").alias("content_id"), F.col("l_shipdate").alias("date"), *counters, *_prices())
+
+
 def content_top_terms_log(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("content_id"), F.lower("p_name").alias("search_term"))
     return content_search_log(spark, sf).join(part, "content_id")
@@ -109,6 +105,12 @@ def shopper_search_log(spark: SparkSession, sf: str) -> DataFrame:
     return _lines_of_users(spark, sf).select("user_id", F.col("l_shipdate").alias("ts_hour"), *_search())
 
 
+def shopper_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Site and search counters of users in one frame."""
+    counters = [*_site(), F.col("l_quantity").alias("impression"), F.lit(1).alias("search_click")]
+    return _lines_of_users(spark, sf).select("user_id", F.col("l_shipdate").alias("ts_hour"), *counters)
+
+
 def shopper_top_terms_log(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.lower("p_name").alias("search_term"))
     return _lines_of_users(spark, sf).join(part, "l_partkey").select(
@@ -167,3 +169,15 @@ def _site():
 
 def _search():
     return [F.col("l_quantity").alias("impression"), F.lit(1).alias("click")]
+
+
+def _prices():
+    original = F.col("l_extendedprice") / F.col("l_quantity")
+    return [
+        (original * (F.lit(1.0) - F.col("l_discount"))).alias("selling_price"),
+        original.alias("original_price"),
+        F.col("l_quantity").alias("review_count"),
+        F.floor(F.col("l_quantity") / 3).cast("double").alias("media_review_count"),
+        F.col("l_linenumber").cast("double").alias("rate_count"),
+        (F.lit(1.0) + F.col("l_tax") * 50).alias("rate_avg"),
+    ]

@@ -42,3 +42,10 @@ def test_plan_joins_on_keys_only(spark, sf, name):
 def test_column_pruning_reaches_the_scan(spark, sf):
     plan = driver.queries()["lazy_scan_filter"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(o_orderdate" in plan and "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_orderdate:timestamp_ntz>" in plan
+
+
+def test_enrichment_scans_each_source_once(spark, sf):
+    """Sessions are written once; all counters and prices of a log and key set come from one scan."""
+    plan = driver.queries()["asof_enrich_all"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
+    assert len(scans) <= 9 and sum("l_partkey" in line or "l_orderkey" in line for line in scans) <= 4
