@@ -1,4 +1,9 @@
-"""Exact splits by time position, as filters: no row is sorted or moved to be split."""
+"""Exact splits by time position, as filters: no row is sorted or moved to be split.
+
+One pass counts the rows of every hour, with a bucket for rows without a time; there are as many
+buckets as the calendar has hours. A position lies in one of them, and only the rows of that hour
+are looked at again, to find the one row at the position.
+"""
 
 from __future__ import annotations
 
@@ -36,28 +41,62 @@ def _side(df: DataFrame, order: Sequence[str], key: tuple, after: bool) -> Colum
     return (first.isNull() | (first <= bound)) & (ours <= cut) if key[0] else first.isNull() & (ours <= cut)
 
 
+def _hours(df: DataFrame, ts: str) -> list[tuple]:
+    """(hour, rows, least time, greatest time) of every hour in order, rows without a time first; at most one row an hour of the calendar."""
+    hour = F.date_trunc("hour", F.col(ts)).cast(df.schema[ts].dataType).alias("hour")
+    rows = df.select(ts, hour).groupBy("hour").agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("low"), F.max(ts).alias("high")).collect()
+    return sorted((tuple(r) for r in rows), key=lambda r: (r[0] is not None, r[0]))
+
+
+def _bucket(hours: list[tuple], position: int) -> tuple[tuple, int]:
+    """The hour that holds a position, and the position among its rows."""
+    for h in hours:
+        if position < h[1]:
+            return h, position
+        position -= h[1]
+    raise ValueError("position beyond the last row")
+
+
+def _in_hour(df: DataFrame, ts: str, hour: tuple) -> DataFrame:
+    """The rows of an hour; the bounds of its times reach the scan."""
+    if hour[0] is None:
+        return df.where(F.col(ts).isNull())
+    kind = df.schema[ts].dataType
+    return df.where((F.col(ts) >= literal(hour[2], kind)) & (F.col(ts) <= literal(hour[3], kind)))
+
+
+def _keys_at(df: DataFrame, order: Sequence[str], positions: Sequence[int], hours: list[tuple], small_rows: int) -> list[tuple]:
+    """The order keys of the rows at some positions."""
+    filled, found = _filled(df, order), []
+    for position in positions:
+        hour, inside = _bucket(hours, position)
+        rows = _in_hour(df, order[0], hour).select(*[c.alias(n) for n, c in filled.items()])
+        if hour[1] <= small_rows:
+            found.append(key_at(rows, list(filled), inside, hour[1], small_rows))
+        else:
+            with kept(rows) as keys:
+                found.append(key_at(keys, list(filled), inside, hour[1], small_rows))
+    return found
+
+
 def time_split(df: DataFrame, val_frac: float = 0.15, order: Sequence[str] = ORDER, small_rows: int = SMALL_ROWS) -> tuple[DataFrame, DataFrame]:
     """(first int(n * (1 - val_frac)) rows by time, the rest); rows without a time come first."""
-    filled = _filled(df, order)
-    with kept(df.select(*[c.alias(n) for n, c in filled.items()])) as keys:
-        n = keys.count()
-        size = int(n * (1 - val_frac))
-        if size == 0:
-            return df.where(F.lit(False)), df
-        cut = key_at(keys, list(filled), size - 1, n, small_rows)
+    hours = _hours(df, order[0])
+    size = int(sum(h[1] for h in hours) * (1 - val_frac))
+    if size == 0:
+        return df.where(F.lit(False)), df
+    (cut,) = _keys_at(df, order, [size - 1], hours, small_rows)
     return df.where(_side(df, order, cut, False)), df.where(_side(df, order, cut, True))
 
 
 def three_way(df: DataFrame, val_frac: float = 0.15, test_frac: float = 0.05, order: Sequence[str] = ORDER, small_rows: int = SMALL_ROWS) -> dict[str, DataFrame]:
     """First ``test_frac`` of the rows test, last ``val_frac`` validation, the middle train; rows without a time come first."""
-    filled = _filled(df, order)
-    with kept(df.select(*[c.alias(n) for n, c in filled.items()])) as keys:
-        n = keys.count()
-        test_end, val_start = int(n * test_frac), int(n * (1 - val_frac))
-        if not 0 < test_end < val_start:
-            raise ValueError(f"{n} rows are too few for a three-way split")
-        low = key_at(keys, list(filled), test_end - 1, n, small_rows)
-        high = key_at(keys, list(filled), val_start - 1, n, small_rows)
+    hours = _hours(df, order[0])
+    n = sum(h[1] for h in hours)
+    test_end, val_start = int(n * test_frac), int(n * (1 - val_frac))
+    if not 0 < test_end < val_start:
+        raise ValueError(f"{n} rows are too few for a three-way split")
+    low, high = _keys_at(df, order, [test_end - 1, val_start - 1], hours, small_rows)
     return {
         "test": df.where(_side(df, order, low, False)),
         "train": df.where(_side(df, order, low, True) & _side(df, order, high, False)),
@@ -66,11 +105,16 @@ def three_way(df: DataFrame, val_frac: float = 0.15, test_frac: float = 0.05, or
 
 
 def cutoffs(df: DataFrame, ts: str = "ts_hour", val_frac: float = 0.15, test_frac: float = 0.05, small_rows: int = SMALL_ROWS) -> tuple:
-    """The times at the test end and validation start positions; only the time column is read, rows without a time are left out of the count."""
-    with kept(df.select(ts).where(F.col(ts).isNotNull())) as times:
-        n = times.count()
-        places = [max(0, min(n - 1, int(n * f))) for f in (test_frac, 1 - val_frac)]
-        return tuple(key_at(times, [ts], p, n, small_rows)[0] for p in places)
+    """The times at the test end and validation start positions; only the time column is read, rows without a time are left out of the count.
+
+    Where all times of the hour are one, as in hourly tables, the count alone answers.
+    """
+    hours = [h for h in _hours(df, ts) if h[0] is not None]
+    n, found = sum(h[1] for h in hours), []
+    for f in (test_frac, 1 - val_frac):
+        hour, inside = _bucket(hours, max(0, min(n - 1, int(n * f))))
+        found.append(hour[2] if hour[2] == hour[3] else key_at(_in_hour(df.select(ts), ts, hour), [ts], inside, hour[1], small_rows)[0])
+    return tuple(found)
 
 
 def by_cutoffs(df: DataFrame, low, high, ts: str = "ts_hour") -> dict[str, DataFrame]:

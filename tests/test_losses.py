@@ -33,3 +33,34 @@ def test_split_keeps_rows_without_an_hour(spark, missing, small_rows):
     assert tail.where("ts_hour is null").count() == max(0, missing - 850)
     parts = splits.three_way(df, small_rows=small_rows)
     assert {k: v.count() for k, v in parts.items()} == {"test": 50, "train": 800, "val": 150}
+
+
+@pytest.mark.parametrize("small_rows", [5, 200_000])
+def test_splits_by_hour_counts_equal_a_sort(spark, small_rows):
+    """Times inside hours, ties, rows without a time, dates before 1970 and a very full hour."""
+    import random
+
+    pick = random.Random(small_rows)
+    start = dt.datetime(1969, 12, 31, 22)
+    times = [None if pick.random() < 0.1 else start + dt.timedelta(minutes=pick.choice([0, 0, 10, 59, 60, 61, 500, 4000])) for _ in range(300)]
+    rows = [(t, pick.randrange(20), i) for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "ts_hour timestamp_ntz, session_id bigint, content_id bigint").repartition(3)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or start, r[1], r[2]))
+    head, tail = splits.time_split(df, small_rows=small_rows)
+    assert sorted(r[2] for r in head.collect()) == sorted(r[2] for r in order[:255]) and tail.count() == 45
+    parts = splits.three_way(df, small_rows=small_rows)
+    for name, want in (("test", order[:15]), ("train", order[15:255]), ("val", order[255:])):
+        assert sorted(r[2] for r in parts[name].collect()) == sorted(r[2] for r in want)
+    known = sorted(t for t in times if t is not None)
+    assert splits.cutoffs(df, small_rows=small_rows) == (known[int(len(known) * 0.05)], known[int(len(known) * 0.85)])
+
+
+def test_split_makes_two_passes_and_keeps_nothing(spark, sf):
+    """One job counts the hours, one reads the rows of the boundary hour; nothing is held on the executors."""
+    from sessionrank.sources import fixtures
+
+    df = fixtures.sessions(spark, sf).select("ts_hour", "session_id", "content_id")
+    head, tail = splits.time_split(df)
+    plan = tail._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryTableScan" not in plan and "Sort" not in plan.replace("SortMerge", "")
+    assert head.count() == int(df.count() * 0.85)
