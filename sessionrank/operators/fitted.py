@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionrank.functions.rates import standard_score
-from sessionrank.operators.ordering import exact_quantile
+from sessionrank.operators.ordering import weighted_quantile
 
 
 def category_price(train: DataFrame, category: str, price: str) -> DataFrame:
@@ -39,8 +39,8 @@ def user_term_affinity(train: DataFrame, test: DataFrame, user: str = "user_id",
         if missing:
             raise KeyError(f"missing columns {missing} for user-term affinity")
     stats = user_term(train, user, term, price=price)
-    # every training row carries its pair's mean, so the median weighs pairs by their rows
-    median = exact_quantile(train.select(user, term).join(stats, [user, term], "left"), "user_term_avg_price", 0.5)
+    # every training row carries its pair's mean, so the median weighs pairs by their rows; rows without a key meet no pair
+    median = weighted_quantile(stats.dropna(subset=[user, term]), "user_term_avg_price", "user_term_freq", 0.5)
     return add_user_term(train, stats, median, user, term), add_user_term(test, stats, median, user, term)
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -172,17 +173,74 @@ def key_at(df: DataFrame, cols: Sequence[str], position: int, rows: int | None =
     return tuple(part.orderBy(*cols).offset(position).limit(1).collect()[0])
 
 
-def exact_quantile(df: DataFrame, column: str, q: float, small_rows: int = SMALL_ROWS) -> float | None:
-    """Exact quantile with linear interpolation between the two nearest values."""
-    numbers = df.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)")
+def weighted_values_at(df: DataFrame, column: str, weight: str, positions: Sequence[int], small_rows: int = SMALL_ROWS) -> list:
+    """The values at some 0-based positions of the ascending order in which every row stands ``weight`` times.
+
+    All positions are sought in the same passes. A pass draws pivots from the rows that may
+    still hold one, adds up the weights of the slices between them, and keeps the slices
+    that hold a position; when few distinct values are left they are added up one by one.
+    Pivots only steer the search; the result is exact. Values must not be null or NaN.
+    """
+    rows = df.select(F.col(column).alias("v"), F.col(weight).cast("bigint").alias("w")).where("w > 0")
+    kind = df.schema[column].dataType
+    value = F.col("v")
+    # every open interval: (low, high) exclusive, None without an end; the weight before it; its positions
+    open_: list[tuple] = [(None, None, 0, sorted(set(positions)))] if positions else []
+    found: dict[int, object] = {}
+
+    def inside(low, high) -> Column:
+        bound = F.lit(True)
+        if low is not None:
+            bound = bound & (value > literal(low, kind))
+        return bound if high is None else bound & (value < literal(high, kind))
+
+    while open_:
+        part = rows.where(reduce(lambda a, b: a | b, [inside(low, high) for low, high, *_ in open_]))
+        n = part.count()
+        if n <= small_rows:
+            listed = sorted((r["v"], r["w"]) for r in part.groupBy("v").agg(F.sum("w").alias("w")).collect())
+            for low, high, before, wanted in open_:
+                for v, w in listed:
+                    if (low is None or v > low) and (high is None or v < high):
+                        found.update({p: v for p in wanted if before <= p < before + w})
+                        before += w
+            break
+        pivots = sorted({r["v"] for r in part.sample(fraction=min(1.0, FANOUT / n)).select("v").distinct().collect()})
+        if not pivots:
+            continue
+        slot = _slice_of(value, [literal(v, kind) for v in pivots])
+        nth = reduce(lambda c, i: c.when(inside(*open_[i][:2]), i), range(1, len(open_)), F.when(inside(*open_[0][:2]), 0))
+        sums = {(r["i"], r["s"]): r["w"] for r in part.groupBy(nth.alias("i"), slot.alias("s")).agg(F.sum("w").alias("w")).collect()}
+        narrowed = []
+        for i, (low, high, before, wanted) in enumerate(open_):
+            for s in range(2 * len(pivots) + 1):
+                w = sums.get((i, s), 0)
+                here = [p for p in wanted if before <= p < before + w]
+                if here and s % 2:
+                    found.update(dict.fromkeys(here, pivots[s // 2]))
+                elif here:
+                    left, right = pivots[s // 2 - 1] if s else None, pivots[s // 2] if s // 2 < len(pivots) else None
+                    narrowed.append((max((x for x in (low, left) if x is not None), default=None), min((x for x in (high, right) if x is not None), default=None), before, here))
+                before += w
+        open_ = narrowed
+    if set(positions) - set(found):
+        raise ValueError("position beyond the last row")
+    return [found[p] for p in positions]
+
+
+def weighted_quantile(df: DataFrame, column: str, weight: str, q: float, small_rows: int = SMALL_ROWS) -> float | None:
+    """Exact quantile of values that stand ``weight`` times each, with linear interpolation between the two nearest."""
+    numbers = df.select(F.col(column).cast("double").alias("v"), F.col(weight).cast("bigint").alias("w")).where("v is not null and not isnan(v)")
     with kept(numbers) as values:
-        n = values.count()
+        n = values.agg(F.sum("w")).first()[0] or 0
         if n == 0:
             return None
         where = q * (n - 1)
         low = int(where)
-        a = key_at(values, ["v"], low, n, small_rows)[0]
-        if where == low:
-            return a
-        b = key_at(values, ["v"], low + 1, n, small_rows)[0]
+        a, b = weighted_values_at(values, "v", "w", [low, min(low + 1, n - 1)], small_rows)
         return a + (b - a) * (where - low)
+
+
+def exact_quantile(df: DataFrame, column: str, q: float, small_rows: int = SMALL_ROWS) -> float | None:
+    """Exact quantile with linear interpolation between the two nearest values."""
+    return weighted_quantile(df.withColumn("_one", F.lit(1)), column, "_one", q, small_rows)

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionrank.operators.ordering import split_hot
@@ -19,17 +19,22 @@ from sessionrank.session import durable
 PACKED_ROWS = 50_000
 
 
-def pack(df: DataFrame, columns: Sequence[str], session: str = "session_id", item: str = "content_id", hot_rows: int = PACKED_ROWS) -> tuple[DataFrame | None, DataFrame | None]:
+def pack(df: DataFrame, columns: Sequence[str], session: str = "session_id", item: str = "content_id", hot_rows: int = PACKED_ROWS, where: Column | None = None, written: bool = True) -> tuple[DataFrame | None, DataFrame | None]:
     """(sessions as arrays of their columns in item order, rows of the sessions that are too large); absent parts are None.
 
-    Both are checkpointed, so that later passes read them and nothing else.
+    ``where`` is a condition on a session, written over aggregates of its rows; others are left
+    out. Both are checkpointed, so that later passes read them and nothing else, unless a single pass follows.
     """
     cold, hot = split_hot(df.select(session, item, *columns), [session], hot_rows)
+    chosen = F.lit(True) if where is None else where
     if cold is not None:
         rows = F.array_sort(F.collect_list(F.struct(item, *columns)))
-        listed = cold.groupBy(session).agg(rows.alias("_rows"))
-        cold = durable(listed.select(session, *[F.col(f"_rows.{c}").alias(c) for c in columns]))
-    return cold, None if hot is None else durable(hot)
+        listed = cold.groupBy(session).agg(rows.alias("_rows"), chosen.alias("_chosen")).where("_chosen")
+        cold = listed.select(session, *[F.col(f"_rows.{c}").alias(c) for c in columns])
+    if hot is not None and where is not None:
+        wanted = hot.groupBy(session).agg(chosen.alias("_chosen")).where("_chosen").select(session)
+        hot = hot.join(wanted, session, "left_semi")
+    return tuple(None if part is None else durable(part) if written else part for part in (cold, hot))
 
 
 def flat(column: pa.Array) -> np.ndarray:

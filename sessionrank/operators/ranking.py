@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionrank.functions.text import tokens
 from sessionrank.operators.ordering import HOT_ROWS, range_running, rank_within, running_within, split_hot, window_running
+from sessionrank.operators.packed import PACKED_ROWS, bounds, flat, pack
 
 # Weights of the two labels in the final score, and the AUC of no evidence.
 ORDERED_WEIGHT = 0.7
@@ -95,6 +99,74 @@ def group_auc_of_each(df: DataFrame, candidates: Sequence[Column], score: Column
     return mean_auc(per_session, by)
 
 
+def session_aucs(score: np.ndarray, labels: np.ndarray, owner: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """AUC of every (label, session) from one score of every row; NaN where a session has rows of one kind only.
+
+    Rows stand by session and, inside one, in item order, so that a stable sort breaks ties by item.
+    """
+    order = np.lexsort((-score, owner))
+    rank = np.empty(len(score))
+    rank[order] = np.arange(len(score)) - first[owner] + 1
+    out = np.full((len(labels), len(sizes)), np.nan)
+    for i, y in enumerate(labels):
+        pos = np.bincount(owner, y, len(sizes))
+        gain = pos * (sizes + 1) - np.bincount(owner, y * rank, len(sizes)) - pos * (pos + 1) / 2
+        both = (pos > 0) & (pos < sizes)
+        out[i, both] = gain[both] / (pos * (sizes - pos))[both]
+    return out
+
+
+def group_auc_of_all(
+    df: DataFrame, scores: Sequence[str], candidates: Sequence[tuple[float, ...]], by: Sequence[str], blend: Callable[..., object],
+    session: str = "session_id", item: str = "content_id", hot_rows: int = PACKED_ROWS,
+) -> DataFrame:
+    """The ranking score of many blends in one pass over packed sessions.
+
+    ``blend`` gives the score of a row from its score columns and the fields of a candidate; it
+    is called with numpy arrays and numbers for packed sessions, and with columns for the rows
+    of sessions that are too large to pack. Sessions that no label can score are left out before
+    anything is multiplied. Missing scores rank last. A task gives two numbers a label and
+    candidate, whatever its rows.
+    """
+    labels = ["ordered", "clicked"]
+    able = reduce(lambda a, b: a | b, [(F.max(c) > 0) & (F.min(c) == 0) for c in labels])
+    cold, hot = pack(df, [*scores, *labels], session, item, hot_rows, able, written=False)
+    parts = []
+    fields = [f"{c}_{k}" for c in labels for k in ("sum", "n")]
+    if cold is not None:
+        schema = pa.schema([("i", pa.int32()), *[(f, pa.float64()) for f in fields]])
+
+        def run(batches):
+            sums = np.zeros((len(candidates), len(labels), 2))
+            for batch in batches:
+                at = bounds(batch.column(labels[0]))
+                sizes, first = np.diff(at).astype(float), at[:-1]
+                owner = np.repeat(np.arange(len(sizes)), np.diff(at))
+                given = [flat(batch.column(c)) for c in scores]
+                truth = np.stack([flat(batch.column(c)) for c in labels])
+                for i, candidate in enumerate(candidates):
+                    made = np.asarray(blend(*given, *candidate), float)
+                    aucs = session_aucs(np.where(np.isnan(made), -np.inf, made), truth, owner, first, sizes)
+                    sums[i, :, 0] += np.nansum(aucs, axis=1)
+                    sums[i, :, 1] += np.sum(~np.isnan(aucs), axis=1)
+            columns = [pa.array(np.arange(len(candidates), dtype=np.int32)), *[pa.array(sums[:, j, k]) for j in range(len(labels)) for k in range(2)]]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+        parts.append(cold.select(*scores, *labels).mapInArrow(run, "i int, " + ", ".join(f"{f} double" for f in fields)))
+    if hot is not None:
+        cells = F.inline(F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(float(v)).alias(n) for n, v in zip(by, c)]) for i, c in enumerate(candidates)]))
+        many = hot.select("*", cells).withColumn("_score", blend(*[F.col(c) for c in scores], *[F.col(n) for n in by]))
+        ranked = range_running(many, ["i", session], [F.col("_score").desc_nulls_last(), F.col(item).asc()], {"rank": F.lit(1).cast("bigint")})
+        each = auc_of_ranks(ranked, ["i", session], labels)
+        parts.append(each.select("i", *[v.cast("double").alias(f"{c}_{k}") for c in labels for k, v in (("sum", F.coalesce(F.col(f"{c}_auc"), F.lit(0.0))), ("n", F.col(f"{c}_auc").isNotNull().cast("int")))]))
+    total = reduce(DataFrame.unionByName, parts).groupBy("i").agg(*[F.sum(f).alias(f) for f in fields])
+    listed = df.sparkSession.createDataFrame([(i, *map(float, c)) for i, c in enumerate(candidates)], "i int, " + ", ".join(f"`{n}` double" for n in by))
+    found = listed.join(F.broadcast(total), "i", "left")  # one row a candidate
+    means = [F.coalesce(F.try_divide(F.col(f"{c}_sum"), F.col(f"{c}_n")), F.lit(CHANCE)).alias(f"{c}_auc") for c in labels]
+    counts = [F.coalesce(F.col(f"{c}_n"), F.lit(0)).cast("bigint").alias(f"n_{c}") for c in labels]
+    return found.select(*by, *means, *counts).withColumn("score", F.lit(ORDERED_WEIGHT) * F.col("ordered_auc") + F.lit(CLICKED_WEIGHT) * F.col("clicked_auc"))
+
+
 # ---- list form: one space-separated string of items per session
 
 def _require(df: DataFrame, columns: Sequence[str], what: str) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sessionrank.operators import blend, ranking, submission
+from sessionrank.operators import blend, ranking, splits, submission
 from sessionrank.plans.registry import query, views
 from sessionrank.sources import fixtures as fx
 
@@ -187,19 +187,41 @@ def search_blend_weight(spark, sf):
     return _rounded(blend.best_weight(_scored(spark, sf), WEIGHTS), "w")
 
 
-def _simplex_sql(step):
-    values = ", ".join(f"({o!r}::double, {a!r}::double, {c!r}::double)" for o, a, c in blend.simplex(step))
+def _candidates_sql(names, candidates, score):
+    """Mean session AUCs of blends given as rows of values; ``score`` is written over p_order, p_any, p_click and the names."""
+    values = ", ".join("(" + ", ".join(f"{v!r}::double" for v in c) + ")" for c in candidates)
+    by = ", ".join(names)
     return f"""{views("sessions")},
-    r as (select s.*, w_order, w_any, w_click, count(*) over (partition by w_order, w_any, session_id) as n,
-                 row_number() over (partition by w_order, w_any, session_id order by w_order * p_order + w_any * {ANY_SQL} + w_click * p_click desc, content_id) as rank
-          from sessions s, (values {values}) v(w_order, w_any, w_click)),
-    {AUC_SQL.replace("select session_id, n,", "select w_order, w_any, w_click, session_id, n,").replace("group by session_id, n", "group by w_order, w_any, w_click, session_id, n")}
-    select w_order, w_any, w_click, {MEAN_SQL} from a group by all"""
+    s as (select session_id, content_id, ordered, clicked, p_order, p_click, {ANY_SQL} as p_any from sessions),
+    r as (select s.*, {by}, count(*) over (partition by {by}, session_id) as n,
+                 row_number() over (partition by {by}, session_id order by {score} desc, content_id) as rank
+          from s, (values {values}) v({by})),
+    {AUC_SQL.replace("select session_id, n,", f"select {by}, session_id, n,").replace("group by session_id, n", f"group by {by}, session_id, n")},
+    m as (select {by}, {MEAN_SQL} from a group by {by})"""
 
 
-@query("search_blend_simplex", _simplex_sql(0.25))
+SIMPLEX, THREE_SQL = ["w_order", "w_any", "w_click"], "w_order * p_order + w_any * p_any + w_click * p_click"
+
+
+@query("search_blend_simplex", _candidates_sql(SIMPLEX, blend.simplex(0.1), THREE_SQL) + " select * from m")
 def search_blend_simplex(spark, sf):
-    return _rounded(blend.score_simplex(_three(spark, sf), 0.25), "w_order", "w_any", "w_click")
+    """All three-head blends on the grid."""
+    return _rounded(blend.score_simplex(_three(spark, sf), blend.simplex(0.1)), *SIMPLEX)
+
+
+@query("search_blend_simplex_best", _candidates_sql(SIMPLEX, blend.bounded_simplex(), THREE_SQL) + " select * from m order by score desc, w_order, w_any, w_click limit 1")
+def search_blend_simplex_best(spark, sf):
+    """The best three-head blend within the searched bounds."""
+    return blend.best(_rounded(blend.score_simplex(_three(spark, sf), blend.bounded_simplex()), *SIMPLEX), *SIMPLEX)
+
+
+POWERS = [(w, a, b) for w in (0.5, 0.65, 0.8, 0.95) for a in (0.5, 1.0, 1.5) for b in (0.5, 1.0, 1.5)]
+
+
+@query("search_blend_power", _candidates_sql(["w", "a", "b"], POWERS, "w * pow(p_order, a) + (1::double - w) * pow(p_click, b)") + " select * from m order by score desc, w, a, b limit 1")
+def search_blend_power(spark, sf):
+    """The best weight and exponents of the power blend by the ranking score."""
+    return blend.best(_rounded(blend.score_powers(_scored(spark, sf), POWERS), "w", "a", "b"), "w", "a", "b")
 
 
 @query("build_submission", f"{views('sessions')} select session_id, string_agg(cast(content_id as varchar), ' ' order by {BLEND} desc, content_id) as prediction from sessions group by 1")
@@ -259,15 +281,24 @@ def array_join_string(spark, sf):
     return submission.prediction_lists(pairs, F.lit(0), "user_id", "session_id").withColumnRenamed("prediction", "user_sessions")
 
 
-@query("select_best_model", f"""{views("sessions")}, g as (
-    select 'ordered_head' as model, (select sum(ordered * p_order) / sum(p_order) from sessions) as holdout union all
-    select 'clicked_head', (select sum(ordered * p_click) / sum(p_click) from sessions)) select model, round(holdout, 9) as holdout from g order by holdout desc, model limit 1""")
+MODELS = [(0.0, "clicked_head"), (0.45, "blend"), (1.0, "ordered_head")]
+
+
+@query("select_best_model", f"""{views("sessions")},
+    o as (select *, row_number() over (order by ts_hour nulls first, session_id, content_id) as place, count(*) over () as total from sessions),
+    h as (select * from o where place > trunc(total * 0.85::double)),
+    r as (select h.*, w, model, count(*) over (partition by w, session_id) as n,
+                 row_number() over (partition by w, session_id order by w * p_order + (1::double - w) * p_click desc, content_id) as rank
+          from h, (values {", ".join(f"({w!r}::double, '{m}')" for w, m in MODELS)}) v(w, model)),
+    {AUC_SQL.replace("select session_id, n,", "select model, session_id, n,").replace("group by session_id, n", "group by model, session_id, n")},
+    m as (select model, {MEAN_SQL} from a group by model) select model, score as holdout from m order by holdout desc, model limit 1""")
 def select_best_model(spark, sf):
-    rows = _scored(spark, sf)
-    heads = {"ordered_head": "p_order", "clicked_head": "p_click"}
-    cells = [F.struct(F.lit(n).alias("model"), (F.sum(F.col("ordered") * F.col(c)) / F.sum(c)).alias("holdout")) for n, c in heads.items()]
-    results = rows.agg(F.array(*cells).alias("c")).select(F.inline("c"))
-    return ranking.best_of(results, "model", "holdout").select("model", F.round("holdout", 9).alias("holdout"))
+    """The model with the best group AUC on the last 15 % of the rows by time."""
+    _, held = splits.time_split(_scored(spark, sf))
+    scores = blend.score_weights(held, [w for w, _ in MODELS])
+    names = F.create_map(*[F.lit(x) for pair in MODELS for x in pair])
+    results = scores.select(F.get(F.map_values(F.map_filter(names, lambda k, _: k == F.col("w"))), F.lit(0)).alias("model"), F.round("score", 9).alias("holdout"))
+    return ranking.best_of(results, "model", "holdout")
 
 
 @query("export_row_scores", f"{views('sessions')} select session_id, p_order as ordered, p_click as clicked from sessions")

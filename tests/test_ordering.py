@@ -89,3 +89,25 @@ def test_split_is_a_filter_without_exchange(spark):
     train, _ = splits.time_split(df)
     plan = train._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("small_rows", [3, 200_000])
+def test_weighted_positions_equal_a_repeated_list(spark, small_rows):
+    """Several positions in the same passes, with ties, weights of 0 and values that hold most of the weight."""
+    import random
+
+    from sessionrank.operators.ordering import weighted_quantile, weighted_values_at
+
+    pick = random.Random(small_rows)
+    rows = [(float(pick.randrange(-40, 40)), pick.choice([0, 1, 2, 50])) for _ in range(400)] + [(7.0, 5000)]
+    df = spark.createDataFrame(rows, "v double, w bigint").repartition(3)
+    listed = sorted(v for v, w in rows for _ in range(w))
+    positions = [0, 1, len(listed) - 1, len(listed) // 2, len(listed) // 2, 17, 900]
+    assert weighted_values_at(df, "v", "w", positions, small_rows) == [listed[p] for p in positions]
+    for q in (0.0, 0.31, 0.5, 1.0):
+        at = q * (len(listed) - 1)
+        a, b = listed[int(at)], listed[min(int(at) + 1, len(listed) - 1)]
+        assert weighted_quantile(df, "v", "w", q, small_rows) == pytest.approx(a + (b - a) * (at - int(at)))
+    assert weighted_quantile(df.where("w < 0"), "v", "w", 0.5) is None
+    with pytest.raises(ValueError):
+        weighted_values_at(df, "v", "w", [len(listed)], small_rows)
