@@ -27,23 +27,54 @@ def _kind(dtype: T.DataType) -> str:
     return "number" if isinstance(dtype, T.NumericType) else "other"
 
 
-def profile(df: DataFrame, table: str, approximate: bool = False) -> DataFrame:
+def _counts(df: DataFrame) -> DataFrame:
+    """One row: a map from column number to (non_null_rows, distinct_values), exact, with one narrow key for all columns.
+
+    Every value becomes (column, 128 bits of its hash). Equal ones are counted where they lie,
+    so a column with few values sends few rows, and no row is copied with all its columns.
+    """
+    cells = [F.struct(F.lit(i).alias("i"), *[F.when(F.col(f"`{f.name}`").isNotNull(), F.xxhash64(*seed, F.col(f"`{f.name}`"))).alias(h) for h, seed in (("a", []), ("b", [F.lit(i)]))]) for i, f in enumerate(df.schema)]
+    counted = df.select(F.inline(F.array(*cells))).groupBy("i", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    each = counted.groupBy("i").agg(F.coalesce(F.sum(F.when(F.col("a").isNotNull(), F.col("n"))), F.lit(0)).alias("non_null_rows"), F.count("a").alias("distinct_values"))
+    return each.agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("non_null_rows", "distinct_values")))).alias("counts"))
+
+
+def _sketched(df: DataFrame) -> DataFrame:
+    """The same by one HyperLogLog sketch a column: a single pass, nothing exchanged but the sketches."""
+    cells = [x for i, f in enumerate(df.schema) for x in (F.lit(i), F.struct(F.count(f"`{f.name}`").alias("non_null_rows"), F.approx_count_distinct(f"`{f.name}`").alias("distinct_values")))]
+    return df.agg(F.create_map(*cells).alias("counts"))
+
+
+NEAR = 4  # times the limit up to which an estimate calls for an exact count
+
+
+def _settled(df: DataFrame) -> DataFrame:
+    """Estimates, and exact counts of those columns whose role or note hangs on them."""
+    rough = _sketched(df).first()["counts"]  # an entry a column
+    close = [i for i, r in rough.items() if r["distinct_values"] <= NEAR * MANY_VALUES]
+    exact = _counts(df.select(*[f"`{df.columns[i]}`" for i in close])).first()["counts"] if close else {}
+    found = rough | {close[j]: r for j, r in exact.items()}
+    made = df.sparkSession.createDataFrame([({i: tuple(r) for i, r in found.items()},)], "counts map<int,struct<non_null_rows:bigint,distinct_values:bigint>>")
+    return made
+
+
+def profile(df: DataFrame, table: str, distinct: str = "exact") -> DataFrame:
     """One row per column: type, non-null rows, distinct values, role and the reason for it.
 
-    ``approximate`` trades exact distinct counts for a single pass with small sketches.
+    ``distinct`` is "exact"; "sketch" for estimates in a single pass; or "settled", which
+    counts exactly only the columns whose estimate lies near the limits that decide a role.
     """
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
+    counts = {"exact": _counts, "sketch": _sketched, "settled": _settled}[distinct](df)
     cells = [
         F.struct(
             F.lit(f.name).alias("column_name"),
             F.lit(f.dataType.simpleString()).alias("data_type"),
             F.lit(_kind(f.dataType)).alias("kind"),
-            F.count(f.name).alias("non_null_rows"),
-            distinct(f.name).alias("distinct_values"),
+            *[F.coalesce(F.try_element_at("counts", F.lit(i))[c], F.lit(0)).cast("bigint").alias(c) for c in ("non_null_rows", "distinct_values")],
         )
-        for f in df.schema
+        for i, f in enumerate(df.schema)
     ]
-    rows = df.agg(F.array(*cells).alias("c")).select(F.lit(table).alias("table_name"), F.inline("c"))
+    rows = counts.select(F.lit(table).alias("table_name"), F.inline(F.array(*cells)))
     ratio = F.try_divide(F.col("distinct_values"), F.col("non_null_rows"))
     number, few = F.col("kind") == "number", F.col("distinct_values") <= FEW_VALUES
     low = (ratio <= LOW_RATIO) & (F.col("distinct_values") <= MANY_VALUES)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,21 +45,43 @@ def bm25(rows: DataFrame, documents: DataFrame, key: str = "content_id", term: s
 Scorer = Callable[[pd.DataFrame], pd.Series]
 
 
-def token_share(batch: pd.DataFrame) -> pd.Series:
-    """Share of the query's distinct tokens found in the text."""
-    def share(query: str, text: str) -> float:
-        wanted = set((query or "").lower().split())
-        return len(wanted & set((text or "").lower().split())) / len(wanted) if wanted else 0.0
+def _tokens_of_rows(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(row, token) of all tokens of a text column, lower-cased, parted by white space."""
+    split = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(column.cast(pa.string()), "")))
+    rows, words = pc.list_parent_indices(split), pc.list_flatten(split)
+    full = pc.not_equal(words, "")
+    return np.asarray(rows.filter(full)), words.filter(full)
 
-    return pd.Series([share(q, t) for q, t in zip(batch["query"], batch["text"])], index=batch.index, dtype="float64")
 
+def token_share(query: pa.Array, text: pa.Array) -> np.ndarray:
+    """Share of each query's distinct tokens found in its text, 0 without tokens.
 
-def score_pairs(pairs: DataFrame, scorer: Scorer = token_share, out: str = "score") -> DataFrame:
-    """Score (query, text) rows in Arrow batches with any model-like function."""
+    The tokens of a batch are coded by one dictionary; a (row, code) pair is then one number,
+    and distinct pairs of queries are looked up among those of the texts.
+    """
+    (q_row, q_words), (t_row, t_words) = _tokens_of_rows(query), _tokens_of_rows(text)
+    coded = pa.concat_arrays([q_words, t_words]).dictionary_encode()
+    codes, size = np.asarray(coded.indices).astype(np.int64), max(1, len(coded.dictionary))
+    asked = np.unique(q_row.astype(np.int64) * size + codes[: len(q_row)])
+    held = np.unique(t_row.astype(np.int64) * size + codes[len(q_row) :])
+    wanted = np.bincount(asked // size, minlength=len(query))
+    met = np.bincount(asked[np.isin(asked, held, assume_unique=True)] // size, minlength=len(query))
+    return np.divide(met, wanted, out=np.zeros(len(query)), where=wanted > 0)
+
+
+def score_pairs(pairs: DataFrame, scorer: Scorer | None = None, out: str = "score") -> DataFrame:
+    """Score (query, text) rows in Arrow batches: by shared tokens, or by any model-like function of pandas batches."""
     schema = T.StructType([*pairs.schema.fields, T.StructField(out, T.DoubleType())])
+    if scorer is not None:
+
+        def run(batches):
+            for batch in batches:
+                yield batch.assign(**{out: scorer(batch).to_numpy()})
+
+        return pairs.mapInPandas(run, schema)
 
-    def run(batches):
+    def share(batches):
         for batch in batches:
-            yield batch.assign(**{out: scorer(batch).to_numpy()})
+            yield batch.append_column(out, pa.array(token_share(batch.column("query"), batch.column("text")), pa.float64()))
 
-    return pairs.mapInPandas(run, schema)
+    return pairs.mapInArrow(share, schema)

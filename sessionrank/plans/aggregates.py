@@ -20,28 +20,56 @@ def agg_hourly_counters(spark, sf):
     return history.hourly_sums(fx.event_sitewide_log(spark, sf), ["user_id"], {"click": "click", "orders": "orders"})
 
 
-@query("agg_user_logs", f"""{views("shopper_sitewide_log", "shopper_search_log", "shopper_top_terms_log")},
-    a as (select user_id, sum(click) as site_click_sum, round(avg(click), 6) as site_click_mean, cast(sum(orders) as double) as site_orders_sum,
-                 count(distinct ts_hour) as site_ts_hour_nunique from shopper_sitewide_log group by 1),
-    b as (select user_id, sum(impression) as search_impression_sum, round(avg(impression), 6) as search_impression_mean, count(distinct ts_hour) as search_ts_hour_nunique
-          from shopper_search_log group by 1),
-    c as (select user_id, sum(impression) as terms_impression_sum, count(distinct search_term) as terms_search_term_nunique from shopper_top_terms_log group by 1)
-    select * from a join b using (user_id) join c using (user_id)""")
+SUMS = ["sum"]
+BOTH = ["sum", "mean"]
+# What is taken of each log, by prefix: (view, aggregates by column).
+USER_LOGS = {
+    "search": ("shopper_search_log", {"click": BOTH, "impression": BOTH, "ts_hour": ["nunique"]}),
+    "site": ("shopper_sitewide_log", {"cart": BOTH, "click": BOTH, "fav": BOTH, "orders": BOTH, "ts_hour": ["nunique"]}),
+    "terms": ("shopper_top_terms_log", {"click": SUMS, "impression": SUMS, "search_term": ["nunique"], "ts_hour": ["nunique"]}),
+    "fashion_search": ("event_search_log", {"click": SUMS, "impression": SUMS, "ts_hour": ["nunique"]}),
+    "fashion_site": ("event_sitewide_log", {"cart": SUMS, "click": SUMS, "fav": SUMS, "orders": SUMS, "ts_hour": ["nunique"]}),
+}
+CONTENT_LOGS = {
+    "search": ("content_search_log", {"click": BOTH, "impression": BOTH, "date": ["nunique"]}),
+    "site": ("content_sitewide_log", {"cart": BOTH, "click": BOTH, "fav": BOTH, "orders": BOTH, "date": ["nunique"]}),
+    "terms": ("content_top_terms_log", {"click": SUMS, "impression": SUMS, "search_term": ["nunique"], "date": ["nunique"]}),
+}
+
+
+def _spec_names(prefix, spec):
+    return [f"{prefix}_{c}_{fn}" for c, fns in spec.items() for fn in fns]
+
+
+def _logs_sql(key, ids, logs):
+    """All ids of a view, with the aggregates of every log, 0 where a log does not know the id."""
+    form = {"sum": "round(cast(sum({c}) as double), 6)", "mean": "round(avg({c}), 6)", "nunique": "count(distinct {c})"}
+    parts, out = [], []
+    for prefix, (view, spec) in logs.items():
+        cells = ", ".join(f"{form[fn].format(c=c)} as {prefix}_{c}_{fn}" for c, fns in spec.items() for fn in fns)
+        parts.append(f"l_{prefix} as (select {key}, {cells} from {view} group by 1)")
+        out += [f"coalesce({n}, 0) as {n}" for n in _spec_names(prefix, spec)]
+    joins = " ".join(f"left join l_{prefix} using ({key})" for prefix in logs)
+    return f"""{views(ids, *dict.fromkeys(v for v, _ in logs.values()))}, {", ".join(parts)}
+    select {key}, {", ".join(out)} from (select distinct {key} from {ids}) {joins}"""
+
+
+def _log_aggregates(spark, sf, key, ids, logs):
+    base = getattr(fx, ids)(spark, sf).select(key).distinct()
+    parts = [aggregates.by_spec(getattr(fx, view)(spark, sf), [key], spec, prefix, 6) for prefix, (view, spec) in logs.items()]
+    return aggregates.join_on_key(base, key, *parts).na.fill(0, [n for prefix, (_, spec) in logs.items() for n in _spec_names(prefix, spec)])
+
+
+@query("agg_user_logs", _logs_sql("user_id", "user_metadata", USER_LOGS))
 def agg_user_logs(spark, sf):
-    site = aggregates.by_spec(fx.shopper_sitewide_log(spark, sf), ["user_id"], {"click": ["sum", "mean"], "orders": ["sum"], "ts_hour": ["nunique"]}, "site", 6)
-    search = aggregates.by_spec(fx.shopper_search_log(spark, sf), ["user_id"], {"impression": ["sum", "mean"], "ts_hour": ["nunique"]}, "search", 6)
-    terms = aggregates.by_spec(fx.shopper_top_terms_log(spark, sf), ["user_id"], {"impression": ["sum"], "search_term": ["nunique"]}, "terms", 6)
-    return site.join(search, "user_id").join(terms, "user_id")
+    """Every known user with what five logs say, 0 where one does not know the user."""
+    return _log_aggregates(spark, sf, "user_id", "user_metadata", USER_LOGS)
 
 
-@query("agg_content_logs", f"""{views("content_sitewide_log", "content_top_terms_log")},
-    a as (select content_id, sum(click) as site_click_sum, round(avg(cart), 6) as site_cart_mean, count(distinct date) as site_date_nunique from content_sitewide_log group by 1),
-    b as (select content_id, sum(impression) as terms_impression_sum, count(distinct search_term) as terms_search_term_nunique from content_top_terms_log group by 1)
-    select * from a join b using (content_id)""")
+@query("agg_content_logs", _logs_sql("content_id", "content_metadata", CONTENT_LOGS))
 def agg_content_logs(spark, sf):
-    site = aggregates.by_spec(fx.content_sitewide_log(spark, sf), ["content_id"], {"click": ["sum"], "cart": ["mean"], "date": ["nunique"]}, "site", 6)
-    terms = aggregates.by_spec(fx.content_top_terms_log(spark, sf), ["content_id"], {"impression": ["sum"], "search_term": ["nunique"]}, "terms", 6)
-    return site.join(terms, "content_id")
+    """Every known item with what three logs say, 0 where one does not know the item."""
+    return _log_aggregates(spark, sf, "content_id", "content_metadata", CONTENT_LOGS)
 
 
 @query("agg_user_meta_mode", f"""{views("user_metadata")}, j as (select c_nationkey, u.* from user_metadata u join customer on c_custkey = user_id),
@@ -95,10 +123,10 @@ def _activity_sql(left, log, key, ts, cols):
 @query("agg_user_activity_past", f"""{views("event_sessions", "event_sitewide_log", "event_search_log")},
     a as ({_activity_sql("event_sessions", "event_sitewide_log", "user_id", "ts_hour", ["click", "cart", "fav", "orders"])}),
     b as ({_activity_sql("event_sessions", "event_search_log", "user_id", "ts_hour", ["impression", "click"])})
-    select user_id, cast(a.click as bigint) as user_total_clicks, cast(a.cart as bigint) as user_total_cart, cast(a.fav as bigint) as user_total_fav, cast(a.orders as bigint) as user_total_orders,
-           a.click::double / a.rows as user_avg_clicks, a.rows as user_activity_rows,
-           cast(b.impression as bigint) as user_search_impressions, coalesce(b.click::double / nullif(b.impression::double, 0), 0) as user_search_ctr
-    from a join b using (user_id)""")
+    select user_id, coalesce(cast(a.click as bigint), 0) as user_total_clicks, coalesce(cast(a.cart as bigint), 0) as user_total_cart, coalesce(cast(a.fav as bigint), 0) as user_total_fav,
+           coalesce(cast(a.orders as bigint), 0) as user_total_orders, coalesce(a.click::double / a.rows, 0) as user_avg_clicks, coalesce(a.rows, 0) as user_activity_rows,
+           coalesce(cast(b.impression as bigint), 0) as user_search_impressions, coalesce(b.click::double / nullif(b.impression::double, 0), 0) as user_search_ctr
+    from a full join b using (user_id)""")
 def agg_user_activity_past(spark, sf):
     asked = fx.event_sessions(spark, sf)
     site = history.past_sums(fx.event_sitewide_log(spark, sf), asked, ["user_id"], ["click", "cart", "fav", "orders"]).select(
@@ -108,7 +136,7 @@ def agg_user_activity_past(spark, sf):
     search = history.past_sums(fx.event_search_log(spark, sf), asked, ["user_id"], ["impression", "click"]).select(
         "user_id", F.col("impression").alias("user_search_impressions"), ratio_or(F.col("click").cast("double"), F.col("impression").cast("double")).alias("user_search_ctr")
     )
-    return site.join(search, "user_id")
+    return site.join(search, "user_id", "full").na.fill(0)
 
 
 @query("agg_content_activity_past", f"""{views("sessions", "content_sitewide_log")}, t as (select distinct content_id, ts_hour from sessions),
@@ -201,26 +229,40 @@ def agg_hour_counts(spark, sf):
     return aggregates.time_counts(table(spark, sf, "events"), "ts")
 
 
-# Column types of the profiled tables.
+# Column types of the tables.
 PROFILED = {
+    "region": {"r_regionkey": "int", "r_name": "string"},
+    "nation": {"n_nationkey": "int", "n_name": "string", "n_regionkey": "int"},
+    "customer": {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"},
+    "supplier": {"s_suppkey": "bigint", "s_name": "string", "s_nationkey": "int", "s_acctbal": "double"},
+    "part": {"p_partkey": "bigint", "p_name": "string", "p_brand": "string", "p_type": "string", "p_size": "int", "p_retailprice": "double"},
+    "orders": {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"},
+    "lineitem": {"l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double", "l_extendedprice": "double", "l_discount": "double", "l_tax": "double", "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp_ntz"},
     "events": {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "event_type": "string", "value": "double", "props": "string"},
-    "lineitem": {
-        "l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double", "l_extendedprice": "double",
-        "l_discount": "double", "l_tax": "double", "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp_ntz",
-    },
+    "documents": {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"},
+    "embeddings": {"vec_id": "bigint", "embedding": "array<float>", "label": "int"},
+    "pages": {"page_id": "bigint", "url": "string", "html": "string"},
+    "benchmark": {"item_id": "bigint", "text": "string"},
+    "labels": {"doc_id": "bigint", "quality": "int", "toxic": "int"},
+    "conversations": {"conv_id": "bigint", "turn": "bigint", "role": "string", "text": "string"},
 }
 
 
+def _kind_sql(kind):
+    return {"string": "string", "timestamp_ntz": "datetime", "date": "datetime", "boolean": "bool"}.get(kind, "number" if kind in ("bigint", "int", "smallint", "double", "float") else "other")
+
+
 def _profile_sql():
     rows = []
     for name, columns in PROFILED.items():
         for c, kind in columns.items():
-            rows.append(f"select '{name}' as table_name, '{c}' as column_name, '{kind}' as data_type, count({c}) as non_null_rows, count(distinct {c}) as distinct_values from {name}")
-    return f"""with p as ({" union all ".join(rows)}), n as (select *, case when data_type = 'string' then 'string' when data_type = 'timestamp_ntz' then 'datetime'
-        when regexp_matches(column_name, '(^|_)id($|_)') or column_name like '%user%' then 'id-like' when distinct_values <= 20 then 'low-cardinality (' || distinct_values || ')'
+            rows.append(f"""select '{name}' as table_name, '{c}' as column_name, '{kind}' as data_type, '{_kind_sql(kind)}' as kind, count({c}) as non_null_rows, count(distinct {c}) as distinct_values from {name}""")
+    ids = profile.ID_NAME.removeprefix("(?i)")
+    return f"""with p as ({" union all ".join(rows)}), n as (select *, case when kind <> 'number' then kind
+        when regexp_matches(lower(column_name), '{ids}') then 'id-like' when distinct_values <= 20 then 'low-cardinality (' || distinct_values || ')'
         when distinct_values <= 100 and distinct_values <= 0.05::double * non_null_rows then format('low unique ratio ({{:.3f}})', distinct_values::double / non_null_rows)
         else 'continuous' end as note from p)
-      select *, case when note in ('continuous', 'datetime') then 'numeric' else 'categorical' end as role from n"""
+      select table_name, column_name, data_type, non_null_rows, distinct_values, note, case when note in ('continuous', 'datetime') then 'numeric' else 'categorical' end as role from n"""
 
 
 @query("profile_columns", _profile_sql())
@@ -237,12 +279,17 @@ def agg_time_span(spark, sf):
     ])
 
 
-@query("date_detect_time_column", """select 'events' as table_name, 'ts' as time_column, count(ts) as n_values from events union all select 'orders', 'o_orderdate', count(o_orderdate) from orders
-    union all select 'lineitem', 'l_shipdate', count(l_shipdate) from lineitem union all select 'customer', 'c_custkey', count(c_custkey) from customer""")
+# What the rule finds: the first time-named column with a value that parses, else the first number.
+TIME_COLUMNS = {
+    "region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderdate", "lineitem": "l_shipdate",
+    "events": "ts", "documents": "doc_id", "embeddings": "vec_id", "pages": "page_id", "benchmark": "item_id", "labels": "doc_id", "conversations": "conv_id",
+}
+
+
+@query("date_detect_time_column", " union all ".join(f"select '{t}' as table_name, '{c}' as time_column, count({c}) as n_values from {t}" for t, c in TIME_COLUMNS.items()))
 def date_detect_time_column(spark, sf):
     """The time column each table would be split by."""
-    names = ["events", "orders", "lineitem", "customer"]
-    found = {n: profile.time_column(table(spark, sf, n)) for n in names}
+    found = {n: profile.time_column(table(spark, sf, n)) for n in PROFILED}
     counts = [
         table(spark, sf, n).agg(F.count(c).alias("n_values")).select(F.lit(n).alias("table_name"), F.lit(c).alias("time_column"), "n_values")
         for n, c in found.items() if c is not None

@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from sessionrank.models import heads
-from sessionrank.operators import encode, relevance
+from sessionrank.operators import encode, relevance, splits
 from sessionrank.plans.registry import md5_bucket_sql, query, views
 from sessionrank.sources import fixtures as fx
 
@@ -36,16 +36,21 @@ def sample_weights(spark, sf):
 
 
 def _with_meta(spark, sf):
-    return fx.sessions(spark, sf).join(fx.content_metadata(spark, sf), "content_id")
+    """Sessions with item attributes; items the metadata does not know keep their rows."""
+    return fx.sessions(spark, sf).join(fx.content_metadata(spark, sf), "content_id", "left")
 
 
-@query("encode_train_categories", f"""{views("sessions", "content_metadata")}, r as (select * from sessions join content_metadata using (content_id)),
-    tr as (select * from r where ts_hour < timestamp '1995-02-01'), a as (select level2_category, dense_rank() over (order by level2_category) as code from (select distinct level2_category from tr where level2_category is not null)),
-    b as (select cv_tags, dense_rank() over (order by cv_tags) as code from (select distinct cv_tags from tr))
+@query("encode_train_categories", f"""{views("sessions", "content_metadata")},
+    r as (select s.*, level2_category, cv_tags, row_number() over (order by ts_hour nulls first, session_id, s.content_id) as place, count(*) over () as total
+          from sessions s left join content_metadata m on m.content_id = s.content_id),
+    tr as (select * from r where place <= trunc(total * 0.85::double)),
+    a as (select level2_category, dense_rank() over (order by level2_category) as code from (select distinct level2_category from tr where level2_category is not null)),
+    b as (select cv_tags, dense_rank() over (order by cv_tags) as code from (select distinct cv_tags from tr where cv_tags is not null))
     select session_id, content_id, coalesce(a.code, 0) as level2_category_code, coalesce(b.code, 0) as cv_tags_code from r left join a using (level2_category) left join b using (cv_tags)""")
 def encode_train_categories(spark, sf):
+    """Codes from the first 85 % of the rows by time; what only the rest has is unseen."""
     rows = _with_meta(spark, sf)
-    train = rows.where("ts_hour < timestamp_ntz '1995-02-01 00:00:00'")
+    train, _ = splits.time_split(rows)
     coded = encode.encode_train(train, rows, ["level2_category", "cv_tags"])
     return coded.select("session_id", "content_id", "level2_category_code", "cv_tags_code")
 

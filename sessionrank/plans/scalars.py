@@ -146,12 +146,13 @@ def math_price_ratio(spark, sf):
     return rows.join(means, "user_id").select("session_id", "content_id", F.round(F.try_divide(F.col("price"), F.col("user_price")), 9).alias("price_ratio"))
 
 
-@query("math_category_z", f"""{views("content_price", "content_metadata")}, l as (select content_id, leaf_category, floor(max(selling_price)) as price from content_price join content_metadata using (content_id) group by 1, 2),
+@query("math_category_z", f"""{views("content_price", "content_metadata")}, l as (select content_id, coalesce(m.leaf_category, 'UNKNOWN') as leaf_category, floor(max(selling_price)) as price
+      from content_price left join content_metadata as m using (content_id) group by 1, 2),
     g as (select leaf_category, avg(price) as mu, stddev_samp(price) as sigma from l group by 1)
     select content_id, leaf_category, round(case when sigma > 0 then (price - mu) / sigma else 0 end, 7) as price_z_cat from l join g using (leaf_category)""")
 def math_category_z(spark, sf):
     meta = fx.content_metadata(spark, sf).select("content_id", "leaf_category")
-    prices = fx.content_price(spark, sf).groupBy("content_id").agg(F.floor(F.max("selling_price")).alias("price")).join(meta, "content_id")
+    prices = fx.content_price(spark, sf).groupBy("content_id").agg(F.floor(F.max("selling_price")).alias("price")).join(meta, "content_id", "left").na.fill("UNKNOWN", ["leaf_category"])
     stats = fitted.category_price(prices, "leaf_category", "price")
     return fitted.add_category_z(prices, stats, "leaf_category", "price").select("content_id", "leaf_category", F.round("price_z_cat", 7).alias("price_z_cat"))
 
@@ -177,37 +178,38 @@ def bucket_price_rating(spark, sf):
 @query("flag_affinity", f"""{views("sessions", "content_metadata", "user_metadata")}, o as (select user_id, sum(ordered) as orders from sessions group by 1)
     select s.session_id, s.content_id, coalesce(gender = 'BUILDING' and leaf_category in ('SMALL', 'LARGE'), false) as gender_category_match,
            coalesce((1998 - birth_year <= 30 and regexp_matches(leaf_category, 'SMALL|PROMO')) or (1998 - birth_year >= 40 and regexp_matches(leaf_category, 'LARGE|ECONOMY')), false) as age_category_match,
-           case when o.orders >= 10 then attribute_type_count * 20 <= 500 else attribute_type_count * 20 <= 200 end as price_user_match
-    from sessions s join content_metadata using (content_id) join user_metadata using (user_id) join o using (user_id)""")
+           coalesce(case when o.orders >= 10 then attribute_type_count * 20 <= 500 else attribute_type_count * 20 <= 200 end, false) as price_user_match
+    from sessions s left join content_metadata using (content_id) left join user_metadata using (user_id) left join o using (user_id)""")
 def flag_affinity(spark, sf):
     rows = fx.sessions(spark, sf)
     orders = rows.groupBy("user_id").agg(F.sum("ordered").alias("orders"))
-    joined = rows.join(fx.content_metadata(spark, sf), "content_id").join(fx.user_metadata(spark, sf), "user_id").join(orders, "user_id")
+    items, users = fx.content_metadata(spark, sf), fx.user_metadata(spark, sf)
+    joined = rows.join(items, "content_id", "left").join(users, "user_id", "left").join(orders, "user_id", "left")
     leaf, age = F.col("leaf_category"), F.lit(1998) - F.col("birth_year")
     return joined.select(
         "session_id", "content_id",
         F.coalesce(affinity.gender_category(F.col("gender"), leaf, "BUILDING", ["SMALL", "LARGE"]), F.lit(False)).alias("gender_category_match"),
-        affinity.age_category(age, leaf, "SMALL|PROMO", "LARGE|ECONOMY").alias("age_category_match"),
-        affinity.price_tolerance(F.col("attribute_type_count") * 20, F.col("orders")).alias("price_user_match"),
+        F.coalesce(affinity.age_category(age, leaf, "SMALL|PROMO", "LARGE|ECONOMY"), F.lit(False)).alias("age_category_match"),
+        F.coalesce(affinity.price_tolerance(F.col("attribute_type_count") * 20, F.col("orders")), F.lit(False)).alias("price_user_match"),
     )
 
 
 @query("array_jaccard", f"""{views("sessions", "content_metadata")}, t as (select session_id, content_id, string_split(search_term, ' ') as a, string_split(coalesce(case when content_id % 4 = 0 then null else lower(cv_tags) end, ''), ' ') as b
-      from sessions join content_metadata using (content_id))
+      from sessions left join content_metadata using (content_id))
     select session_id, content_id, len(list_intersect(a, b))::double / len(list_distinct(a || b)) as jaccard, case when len(list_intersect(a, b)) > 0 then 1 else 0 end::bigint as any_shared from t""")
 def array_jaccard(spark, sf):
     meta = fx.content_metadata(spark, sf).select("content_id", F.expr("case when content_id % 4 = 0 then null else lower(cv_tags) end").alias("tags"))
     a, b = text.tokens_by_blank(F.col("search_term")), text.tokens_by_blank(F.col("tags"))
-    rows = fx.sessions(spark, sf, term=True).join(meta, "content_id")
+    rows = fx.sessions(spark, sf, term=True).join(meta, "content_id", "left")
     return rows.select("session_id", "content_id", text.jaccard(a, b).alias("jaccard"), text.any_shared(a, b).alias("any_shared"))
 
 
-@query("intersect_union_tokens", f"""{views("sessions", "content_metadata")}, t as (select session_id, content_id, string_split(search_term, ' ') as a, string_split(lower(cv_tags), ' ') as b from sessions join content_metadata using (content_id))
+@query("intersect_union_tokens", f"""{views("sessions", "content_metadata")}, t as (select session_id, content_id, string_split(search_term, ' ') as a, string_split(coalesce(lower(cv_tags), ''), ' ') as b from sessions left join content_metadata using (content_id))
     select session_id, content_id, array_to_string(list_sort(list_intersect(a, b)), ' ') as shared, array_to_string(list_sort(list_distinct(a || b)), ' ') as merged from t""")
 def intersect_union_tokens(spark, sf):
     meta = fx.content_metadata(spark, sf).select("content_id", F.lower("cv_tags").alias("tags"))
     a, b = text.tokens_by_blank(F.col("search_term")), text.tokens_by_blank(F.col("tags"))
-    rows = fx.sessions(spark, sf, term=True).join(meta, "content_id")
+    rows = fx.sessions(spark, sf, term=True).join(meta, "content_id", "left")
     return rows.select(
         "session_id", "content_id", F.array_join(F.array_sort(F.array_intersect(a, b)), " ").alias("shared"), F.array_join(F.array_sort(F.array_union(a, b)), " ").alias("merged")
     )

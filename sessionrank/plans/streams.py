@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from sessionrank.plans.registry import query
@@ -24,3 +26,11 @@ def stream_hourly_counters(spark, sf):
     kind = F.col("event_type")
     aggs = {"clicks": F.count_if(kind == "click"), "orders": F.count_if(kind == "purchase")}
     return hourly.run_available(_events(spark, sf), "hourly_counters", "ts", ["user_id"], aggs)
+
+
+@query("stream_window_counts", """select event_type, date_trunc('hour', ts) as ts_hour, count(*) as n, count(*) filter (user_id % 2 = 0) as n_even from events group by 1, 2""")
+def stream_window_counts(spark, sf):
+    """The same by event-time state; the files hold no row later than the watermark allows, so that none is left out."""
+    aggs = {"n": F.count(F.lit(1)), "n_even": F.count_if(F.col("user_id") % 2 == 0)}
+    counted, _ = hourly.run_windows(_events(spark, sf), "window_counts", "ts", ["event_type"], aggs, timedelta(days=1))
+    return counted

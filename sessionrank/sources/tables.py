@@ -96,6 +96,18 @@ def load_all(spark: SparkSession, paths: Mapping[str, str], register: bool = Fal
     return frames
 
 
+# The reader that answers counts from Parquet footers; set on a session of its own, so that the caller's plans stay as they are.
+FOOTERS = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
+
+
+def row_counts(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
+    """(table_name, n_rows, n_columns) of every table that exists, from the footers of its files: no column is read."""
+    own = spark.newSession()
+    for name, value in FOOTERS.items():
+        own.conf.set(name, value)
+    return catalog(load_all(own, paths))
+
+
 def catalog(frames: Mapping[str, DataFrame]) -> DataFrame:
     """(table_name, n_rows, n_columns) of the loaded tables."""
     sizes = [

@@ -132,3 +132,37 @@ def test_batch_scorer_takes_any_function(spark):
     assert [r["score"] for r in relevance.score_pairs(pairs).collect()] == [0.5, 0.0]
     long = relevance.score_pairs(pairs, lambda batch: batch["text"].str.len().astype("float64"), "n")
     assert [r["n"] for r in long.collect()] == [3.0, 1.0]
+
+
+def test_profile_counts_by_every_way(spark):
+    """Exact, sketched and settled counts agree on small tables; columns of nulls, of lists and empty tables have counts too."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(500).select(
+        F.col("id").alias("many"), (F.col("id") % 7).alias("few"), F.lit(None).cast("string").alias("none"),
+        F.when(F.col("id") % 2 == 0, F.array(F.col("id") % 3)).alias("list"), F.when(F.col("id") % 5 == 0, F.lit(0.0)).otherwise(-0.0).alias("zero"),
+    )
+    want = {"many": (500, 500), "few": (500, 7), "none": (0, 0), "list": (250, 3), "zero": (500, 1)}
+    for way in ("exact", "settled"):
+        got = {r.column_name: (r.non_null_rows, r.distinct_values) for r in profile.profile(df, "t", way).collect()}
+        assert {c: v for c, v in got.items() if way == "exact" or c != "many"} == {c: v for c, v in want.items() if way == "exact" or c != "many"}
+        assert abs(got["many"][1] - 500) <= 50
+    assert {(r.non_null_rows, r.distinct_values) for r in profile.profile(df.limit(0), "t").collect()} == {(0, 0)}
+    plan = profile.profile(df, "t")._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
+
+
+def test_catalog_reads_footers_only(spark, sf):
+    from sessionrank.sources import tables
+
+    found = tables.row_counts(spark, {"lineitem": f"{sf}/lineitem.parquet", "absent": f"{sf}/absent.parquet"})
+    assert "PushedAggregation: [COUNT(*)]" in found._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [("lineitem", spark.read.parquet(f"{sf}/lineitem.parquet").count(), 11)]
+    assert spark.conf.get("spark.sql.sources.useV1SourceList") != ""
+
+
+def test_token_share_of_odd_texts(spark):
+    rows = [("Red ring red", "a RED thing"), ("", "x"), (None, "x"), ("x", None), ("  a\tb ", "b  a c"), ("é", "É")]
+    got = relevance.score_pairs(spark.createDataFrame(rows, "query string, text string")).collect()
+    assert [r.score for r in got] == [0.5, 0.0, 0.0, 0.0, 1.0, 1.0]
+    assert relevance.score_pairs(spark.createDataFrame([], "query string, text string")).count() == 0

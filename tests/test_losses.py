@@ -64,3 +64,41 @@ def test_split_makes_two_passes_and_keeps_nothing(spark, sf):
     plan = tail._jdf.queryExecution().executedPlan().toString()
     assert "InMemoryTableScan" not in plan and "Sort" not in plan.replace("SortMerge", "")
     assert head.count() == int(df.count() * 0.85)
+
+
+def test_event_time_windows_and_late_rows(spark, tmp_path):
+    """Three files, early, in time and late: open hours take rows in any order, closed ones send theirs to the side output."""
+    import os
+    import time
+
+    start = dt.datetime(2024, 1, 1)
+    files = [[(1, "a"), (1, "b"), (10, "a")], [(9, "a"), (10, "b"), (30, "a")], [(2, "a"), (10, "b"), (27, "b"), (31, "a")], [(8, "b"), (40, "a")]]
+    for i, rows in enumerate(files):
+        path = tmp_path / f"f{i}"
+        spark.createDataFrame([(start + dt.timedelta(hours=h, minutes=7), k) for h, k in rows], "ts timestamp_ntz, k string").coalesce(1).write.parquet(str(path))
+        for part in path.glob("*.parquet"):
+            os.utime(part, (time.time() - 1000 + i * 10,) * 2)
+    like = spark.read.parquet(str(tmp_path / "*"))
+    stream = hourly.file_stream(spark, str(tmp_path / "*"), like, 1)
+    counted, late = hourly.run_windows(stream, "test_windows", "ts", ["k"], {"n": F.count(F.lit(1))}, dt.timedelta(hours=5))
+    want, lost = {}, []
+    for i, rows in enumerate(files):
+        # the watermark lies five hours before the greatest time of the files but this and the one before
+        top = max((h for f in files[: max(0, i - 1)] for h, _ in f), default=None)
+        for h, k in rows:
+            if top is not None and h + 1 <= top + 7 / 60 - 5:
+                lost.append((start + dt.timedelta(hours=h, minutes=7), k))
+            else:
+                want[k, start + dt.timedelta(hours=h)] = want.get((k, start + dt.timedelta(hours=h)), 0) + 1
+    assert {(r.k, r.ts_hour): r.n for r in counted.collect()} == want
+    assert sorted(tuple(r) for r in late.collect()) == sorted(lost) and len(lost) == 2
+    assert sum(want.values()) + len(lost) == like.count()
+
+
+def test_streams_without_a_file(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    like = spark.createDataFrame([], "ts timestamp_ntz, k string")
+    stream = hourly.file_stream(spark, str(tmp_path / "none"), like)
+    assert hourly.run_available(stream, "none", "ts", ["k"], {"n": F.count(F.lit(1))}).count() == 0
+    counted, late = hourly.run_windows(stream, "none", "ts", ["k"], {"n": F.count(F.lit(1))}, dt.timedelta(hours=1))
+    assert counted.count() == 0 and late.count() == 0

@@ -98,3 +98,20 @@ def test_submission_check_finds_faults(spark):
     pred = spark.createDataFrame([("b", "1"), ("b", "2"), ("z", "3")], PRED)
     row = submission.check(pred, expected).first().asDict()
     assert row == {"n_rows": 3, "n_expected": 2, "n_missing": 1, "n_unexpected": 1, "n_repeated": 1, "columns_ok": True}
+
+
+def test_blend_grids_over_packed_and_large_sessions(scored):
+    """Three-head and power blends: every candidate equals its single score, packed or range-partitioned; missing scores rank last."""
+    _, df = scored
+    df = df.withColumn("p_any", F.greatest("p_order", "p_click"))
+    cells = [(0.5, 0.3, 0.2), (0.3, 0.1, 0.6)]
+    for hot_rows in (50_000, 15):
+        for r in blend.score_simplex(df, cells, hot_rows).collect():
+            assert r.score == pytest.approx(ranking.group_auc(df, blend.three_heads(r.w_order, r.w_any, r.w_click)).first()["score"])
+        for r in blend.score_powers(df, [(0.6, 1.5, 0.5)], hot_rows).collect():
+            assert r.score == pytest.approx(ranking.group_auc(df, blend.power(0.6, 1.5, 0.5)).first()["score"])
+    gaps = df.withColumn("p_order", F.when(F.col("content_id") % 5 > 0, F.col("p_order")))
+    a, b = (blend.score_weights(gaps, [0.5], n).first()["score"] for n in (50_000, 15))
+    assert a == pytest.approx(b)
+    none = blend.score_weights(df.where("ordered > 5"), [0.2, 0.4]).collect()
+    assert [(r.w, r.score, r.n_ordered) for r in none] == [(0.2, 0.5, 0), (0.4, 0.5, 0)]
