@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,35 +30,53 @@ def _kind(dtype: T.DataType) -> str:
     return "number" if isinstance(dtype, T.NumericType) else "other"
 
 
-def _counts(df: DataFrame) -> DataFrame:
-    """One row: a map from column number to (non_null_rows, distinct_values), exact, with one narrow key for all columns.
+def _numbered(frames: Sequence[DataFrame]) -> list[tuple[DataFrame, list[tuple[int, str]]]]:
+    """Every frame with the numbers of its columns; they go on from frame to frame."""
+    at, out = 0, []
+    for df in frames:
+        out.append((df, list(enumerate(df.columns, at))))
+        at += len(df.columns)
+    return out
+
+
+def _counts(frames: Sequence[DataFrame]) -> DataFrame:
+    """One row: a map from column number to (non_null_rows, distinct_values), exact, with one narrow key for all columns of all frames.
 
     Every value becomes (column, 128 bits of its hash). Equal ones are counted where they lie,
     so a column with few values sends few rows, and no row is copied with all its columns.
     """
-    cells = [F.struct(F.lit(i).alias("i"), *[F.when(F.col(f"`{f.name}`").isNotNull(), F.xxhash64(*seed, F.col(f"`{f.name}`"))).alias(h) for h, seed in (("a", []), ("b", [F.lit(i)]))]) for i, f in enumerate(df.schema)]
-    counted = df.select(F.inline(F.array(*cells))).groupBy("i", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    stacks = []
+    for df, columns in _numbered(frames):
+        values = [(i, F.col(f"`{c}`")) for i, c in columns]
+        cells = [F.struct(F.lit(i).alias("i"), F.when(v.isNotNull(), F.xxhash64(v)).alias("a"), F.when(v.isNotNull(), F.xxhash64(F.lit(i), v)).alias("b")) for i, v in values]
+        stacks.append(df.select(F.inline(F.array(*cells))))
+    counted = reduce(DataFrame.union, stacks).groupBy("i", "a", "b").agg(F.count(F.lit(1)).alias("n"))
     each = counted.groupBy("i").agg(F.coalesce(F.sum(F.when(F.col("a").isNotNull(), F.col("n"))), F.lit(0)).alias("non_null_rows"), F.count("a").alias("distinct_values"))
     return each.agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("non_null_rows", "distinct_values")))).alias("counts"))
 
 
-def _sketched(df: DataFrame) -> DataFrame:
+def _sketched(frames: Sequence[DataFrame]) -> DataFrame:
     """The same by one HyperLogLog sketch a column: a single pass, nothing exchanged but the sketches."""
-    cells = [x for i, f in enumerate(df.schema) for x in (F.lit(i), F.struct(F.count(f"`{f.name}`").alias("non_null_rows"), F.approx_count_distinct(f"`{f.name}`").alias("distinct_values")))]
-    return df.agg(F.create_map(*cells).alias("counts"))
+    parts = [df.agg(F.create_map(*[x for i, c in columns for x in (F.lit(i), F.struct(F.count(f"`{c}`").alias("non_null_rows"), F.approx_count_distinct(f"`{c}`").alias("distinct_values")))]).alias("m")) for df, columns in _numbered(frames)]
+    entries = F.flatten(F.collect_list(F.map_entries("m")))
+    return reduce(DataFrame.union, parts).agg(F.map_from_entries(entries).alias("counts"))
 
 
 NEAR = 4  # times the limit up to which an estimate calls for an exact count
 
 
-def _settled(df: DataFrame) -> DataFrame:
+def _settled(frames: Sequence[DataFrame]) -> DataFrame:
     """Estimates, and exact counts of those columns whose role or note hangs on them."""
-    rough = _sketched(df).first()["counts"]  # an entry a column
-    close = [i for i, r in rough.items() if r["distinct_values"] <= NEAR * MANY_VALUES]
-    exact = _counts(df.select(*[f"`{df.columns[i]}`" for i in close])).first()["counts"] if close else {}
-    found = rough | {close[j]: r for j, r in exact.items()}
-    made = df.sparkSession.createDataFrame([({i: tuple(r) for i, r in found.items()},)], "counts map<int,struct<non_null_rows:bigint,distinct_values:bigint>>")
-    return made
+    found = {i: tuple(r) for i, r in _sketched(frames).first()["counts"].items()}  # an entry a column
+    close, picked = [], []
+    for df, columns in _numbered(frames):
+        near = [(i, c) for i, c in columns if found[i][1] <= NEAR * MANY_VALUES]
+        if near:
+            close += [i for i, _ in near]
+            picked.append(df.select(*[f"`{c}`" for _, c in near]))
+    if picked:
+        found |= {close[j]: tuple(r) for j, r in _counts(picked).first()["counts"].items()}
+    return frames[0].sparkSession.createDataFrame([(found,)], "counts map<int,struct<non_null_rows:bigint,distinct_values:bigint>>")
 
 
 def profile(df: DataFrame, table: str, distinct: str = "exact") -> DataFrame:
@@ -64,17 +85,24 @@ def profile(df: DataFrame, table: str, distinct: str = "exact") -> DataFrame:
     ``distinct`` is "exact"; "sketch" for estimates in a single pass; or "settled", which
     counts exactly only the columns whose estimate lies near the limits that decide a role.
     """
-    counts = {"exact": _counts, "sketch": _sketched, "settled": _settled}[distinct](df)
+    return profiles({table: df}, distinct)
+
+
+def profiles(frames: Mapping[str, DataFrame], distinct: str = "exact") -> DataFrame:
+    """The profiles of several tables from one aggregation over all their columns."""
+    counts = {"exact": _counts, "sketch": _sketched, "settled": _settled}[distinct](list(frames.values()))
     cells = [
         F.struct(
-            F.lit(f.name).alias("column_name"),
-            F.lit(f.dataType.simpleString()).alias("data_type"),
-            F.lit(_kind(f.dataType)).alias("kind"),
-            *[F.coalesce(F.try_element_at("counts", F.lit(i))[c], F.lit(0)).cast("bigint").alias(c) for c in ("non_null_rows", "distinct_values")],
+            F.lit(name).alias("table_name"),
+            F.lit(c).alias("column_name"),
+            F.lit(df.schema[c].dataType.simpleString()).alias("data_type"),
+            F.lit(_kind(df.schema[c].dataType)).alias("kind"),
+            *[F.coalesce(F.try_element_at("counts", F.lit(i))[n], F.lit(0)).cast("bigint").alias(n) for n in ("non_null_rows", "distinct_values")],
         )
-        for i, f in enumerate(df.schema)
+        for name, (df, columns) in zip(frames, _numbered(list(frames.values())))
+        for i, c in columns
     ]
-    rows = counts.select(F.lit(table).alias("table_name"), F.inline(F.array(*cells)))
+    rows = counts.select(F.inline(F.array(*cells)))
     ratio = F.try_divide(F.col("distinct_values"), F.col("non_null_rows"))
     number, few = F.col("kind") == "number", F.col("distinct_values") <= FEW_VALUES
     low = (ratio <= LOW_RATIO) & (F.col("distinct_values") <= MANY_VALUES)

@@ -267,7 +267,7 @@ def _profile_sql():
 
 @query("profile_columns", _profile_sql())
 def profile_columns(spark, sf):
-    return reduce(DataFrame.unionByName, [profile.profile(table(spark, sf, name), name) for name in PROFILED])
+    return profile.profiles({name: table(spark, sf, name) for name in PROFILED})
 
 
 @query("agg_time_span", f"""{views("sessions")} select 'events' as table_name, min(ts) as first_ts, max(ts) as last_ts from events

@@ -60,7 +60,5 @@ def sink_json_lines(spark, sf):
 
 @query("sink_profile_report", _profile_sql())
 def sink_profile_report(spark, sf):
-    first, *rest = [profile.profile(tables.table(spark, sf, name), name) for name in PROFILED]
-    for p in rest:
-        first = first.unionByName(p)
-    return sinks.to_csv(first, output_path(spark, "profile"))
+    found = profile.profiles({name: tables.table(spark, sf, name) for name in PROFILED})
+    return sinks.to_csv(found, output_path(spark, "profile"))
