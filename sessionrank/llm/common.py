@@ -90,11 +90,50 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _GOLD)[_LOWER]
 
 
+SLICE = 1 << 20  # bytes hashed at a time; the arrays on the way need some sixty bytes for each
+
+
 def word_hashes(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words (A-Z lowered, parted by ASCII white space) of all texts, and each text's first word.
 
-    Returns (hashes, bounds): the words of text i are ``hashes[bounds[i]:bounds[i + 1]]``.
+    Returns (hashes, bounds): the words of text i are ``hashes[bounds[i]:bounds[i + 1]]``. Works
+    in slices of about a megabyte, cut behind white space or a text; only a longer word makes a longer slice.
     """
+    found, counts = [], np.zeros(len(offsets) - 1, np.int64)
+    at, last = 0, len(offsets) - 1
+    while at < last:
+        # whole texts up to the size of a slice, or one text in pieces
+        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, side="right")) - 1)
+        if offsets[stop] - offsets[at] <= SLICE:
+            h, bounds = _slice_hashes(body[offsets[at] : offsets[stop]], offsets[at : stop + 1] - offsets[at])
+            found.append(h)
+            counts[at:stop] = np.diff(bounds)
+        else:
+            for piece in _pieces(body[offsets[at] : offsets[stop]]):
+                h, _ = _slice_hashes(piece, np.array([0, len(piece)]))
+                found.append(h)
+                counts[at] += len(h)
+        at = stop
+    return (np.concatenate(found) if found else np.zeros(0, np.uint64)), np.append(0, np.cumsum(counts))
+
+
+def _pieces(text: np.ndarray) -> Iterator[np.ndarray]:
+    """A long text in pieces that end behind white space."""
+    start = 0
+    while start < len(text):
+        end, size = start + SLICE, SLICE
+        while end < len(text):
+            gaps = np.flatnonzero(_SPACES[text[end - size : end]])
+            if len(gaps):
+                end = end - size + int(gaps[-1]) + 1
+                break
+            end += size  # no white space yet: the word goes on
+        end = min(end, len(text))
+        yield text[start:end]
+        start = end
+
+
+def _slice_hashes(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lens = np.diff(offsets)
     n = len(body) + len(lens)
     apart = np.full(n, 32, np.uint8)  # a space after each text, so that no word spans two
@@ -118,23 +157,18 @@ _TABLES: dict[str, np.ndarray] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64; kept between batches while short."""
-    if len(_TABLES.get("power", ())) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        back = pow(_BASE, -1, 1 << 64)
-        for name, value in (("power", _BASE), ("inverse", back)):
-            row = np.full(size, value, np.uint64)
-            row[0] = 1
-            with np.errstate(over="ignore"):
-                made = np.multiply.accumulate(row)
-            if size > 1 << 25:
-                _TABLES.pop(name, None)
-                _TABLES[f"long_{name}"] = made
-            else:
-                _TABLES[name] = made
-    if "long_power" in _TABLES and len(_TABLES["long_power"]) >= n and len(_TABLES.get("power", ())) < n:
-        return _TABLES.pop("long_power"), _TABLES.pop("long_inverse")
-    return _TABLES["power"], _TABLES["inverse"]
+    """Powers of the base and of its inverse modulo 2**64; kept between batches up to the size of a slice and its gaps."""
+    if len(_TABLES.get("power", ())) >= n:
+        return _TABLES["power"], _TABLES["inverse"]
+    size, made = 1 << max(16, (n - 1).bit_length()), {}
+    for name, value in (("power", _BASE), ("inverse", pow(_BASE, -1, 1 << 64))):
+        row = np.full(size, value, np.uint64)
+        row[0] = 1
+        with np.errstate(over="ignore"):
+            made[name] = np.multiply.accumulate(row)
+    if size <= 2 * SLICE:
+        _TABLES.update(made)
+    return made["power"], made["inverse"]
 
 
 def shingle_hashes(words: np.ndarray, width: int = 5) -> np.ndarray:
