@@ -24,10 +24,10 @@ SAMPLE_CHARS = 20_000  # of one of these rows, at most
 FOLDS = 5  # rows whose crc32(doc_id) is 0 modulo this are never learned from
 WINDOW = 24  # code points of a window at most: a word, or a piece of a longer one
 DICTIONARY = 32_768
-MANY = 0.003  # share of a class's rows that must hold a window for its dictionary to learn it
+MANY = (0.003, 0.01, 0.03, 0.1)  # shares of a class's rows that must hold a window for its dictionary to learn it; one is chosen by calibration
 LIFT = 40.0  # times the ordinary share, for a window to count as toxic text
 LEVEL = 9
-HELD = 600_000  # window distances a worker keeps
+HELD = 150_000  # window distances a worker keeps
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -134,34 +134,44 @@ def fit_texts(body: list[str], toxic: list[int], dictionary: int = DICTIONARY, o
     if len(set(toxic)) < 2 or len({toxic[i] for i in train}) < 2:
         return untold
 
-    def trained(k: int, rows: list[int]) -> bytes:
-        """Windows that many rows of the class hold, the commonest at the end, where they are cheapest to refer to; for the toxic one only what sets it apart."""
+    cut = [windows(t) for t in body]
+
+    def counted(rows: list[int]) -> tuple[list[Counter], list[int]]:
+        """In how many rows of each class a window stands, and their numbers plus 1."""
         holds, size = [Counter(), Counter()], [1, 1]
         for i in rows:
-            holds[toxic[i]].update(set(windows(body[i])))
+            holds[toxic[i]].update(cut[i].keys())
             size[toxic[i]] += 1
-        least = max(3, MANY * size[k])
+        return holds, size
+
+    def trained(k: int, many: float, holds: list[Counter], size: list[int]) -> bytes:
+        """Windows that many rows of the class hold, the commonest at the end, where they are cheapest to refer to; for the toxic one only what sets it apart."""
+        least = max(3, many * size[k])
         words = [(n, w) for w, n in holds[k].items() if n >= least and (k == 0 or n / size[1] > LIFT * holds[0][w] / size[0])]
         return b"".join(framed(w) for _, w in sorted(words))[-dictionary:]
 
-    bodies = [trained(k, train) for k in (1, 0)]
-    if min(map(len, bodies)) < 8:
-        return untold
-    distances = Distances(*bodies)
     tune = list(range(1, len(body), 2))
     if len({toxic[i] for i in tune}) < 2:
         tune = list(range(len(body)))
-    cut = [distances.of(windows(body[i])) for i in tune]
-    best = None
-    for margin in range(0, 100, 10):
-        x = features(cut, margin)
-        w = logistic(x, y[tune])
-        p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-9, 1 - 1e-9)
-        loss = -np.mean(np.where(y[tune] > 0, np.log(p), np.log(1 - p)))
-        if best is None or loss < best[0]:
-            best = (loss, margin, tuple(map(float, w)))
+    seen, best = counted(train), None
+    for many in MANY:
+        bodies = [trained(k, many, *seen) for k in (1, 0)]
+        if min(map(len, bodies)) < 8:
+            continue
+        distances = Distances(*bodies)
+        found = [distances.of(cut[i]) for i in tune]
+        for margin in range(0, 100, 10):
+            x = features(found, margin)
+            w = logistic(x, y[tune])
+            p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-9, 1 - 1e-9)
+            loss = -np.mean(np.where(y[tune] > 0, np.log(p), np.log(1 - p)))
+            if best is None or loss < best[0]:
+                best = (loss, margin, tuple(map(float, w)), many)
+    if best is None:
+        return untold
+    whole = counted(list(range(len(body))))
     # the curve is set; the dictionaries may now learn from all rows
-    return Model(*[trained(k, list(range(len(body)))) for k in (1, 0)], best[1], (best[2][0] + moved, *best[2][1:]))
+    return Model(*[trained(k, best[3], *whole) for k in (1, 0)], best[1], (best[2][0] + moved, *best[2][1:]))
 
 
 def held_out(ident) -> F.Column:
