@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionrank.functions.text import tokens
-from sessionrank.operators.ordering import HOT_ROWS, range_running, rank_within, running_within, split_hot, window_running
+from sessionrank.operators.ordering import HOT_ROWS, range_running, rank_within, running_within
 from sessionrank.operators.packed import PACKED_ROWS, bounds, flat, pack
 
 # Weights of the two labels in the final score, and the AUC of no evidence.
@@ -74,31 +74,6 @@ def group_auc(df: DataFrame, score: str | Column, session: str = "session_id", i
     return mean_auc(session_auc(df, score, session=session, item=item, hot_rows=hot_rows))
 
 
-def group_auc_of_each(df: DataFrame, candidates: Sequence[Column], score: Column, by: Sequence[str], session: str = "session_id", item: str = "content_id", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The ranking score of many candidate blends in one job.
-
-    Each candidate is a struct with the fields ``by``. Rows are exchanged by session once,
-    narrow; the candidates multiply them only after the exchange, and each (session,
-    candidate) is then ranked where it lies. A session counts as hot by its multiplied size.
-    """
-    labels = ["ordered", "clicked"]
-    need = df.select(session, item, "p_order", "p_click", *labels, *[c for c in ("p_any",) if c in df.columns])
-    cold, hot = split_hot(need, [session], max(1, hot_rows // len(candidates)))
-    keys, multiplied = [*by, session], F.inline(F.array(*candidates))
-    order = [F.col("_score").desc(), F.col(item).asc()]
-    one = {"rank": F.lit(1).cast("bigint")}
-    ranked = []
-    if cold is not None:
-        many = cold.repartition(session).select("*", multiplied).withColumn("_score", score)
-        ranked.append(window_running(many, keys, order, one))
-    if hot is not None:
-        many = hot.select("*", multiplied).withColumn("_score", score)
-        ranked.append(range_running(many, keys, order, one))
-    parts = [auc_of_ranks(r, keys, labels) for r in ranked]
-    per_session = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return mean_auc(per_session, by)
-
-
 def session_aucs(score: np.ndarray, labels: np.ndarray, owner: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """AUC of every (label, session) from one score of every row; NaN where a session has rows of one kind only.
 

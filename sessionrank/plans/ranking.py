@@ -262,6 +262,18 @@ def check_submission(spark, sf):
     )
 
 
+@query("metric_group_map_lists", f"""{views("sessions")}, r as (select *, case when ordered = 1 then 2 when clicked = 1 then 1 else 0 end as grade,
+      row_number() over (partition by session_id order by {BLEND} desc, content_id) as rank from sessions),
+    h as (select *, sum(grade) over (partition by session_id order by rank) as hits from r),
+    p as (select session_id, sum(case when grade > 0 then hits / rank::double else 0 end) / sum(grade) as ap from h group by 1 having sum(grade) > 0)
+    select round(coalesce(avg(ap), 0), 9) as group_map, count(*) as n_sessions from p""")
+def metric_group_map_lists(spark, sf):
+    """Graded precision of a submission in list form against the lists of the solution."""
+    rows = _scored(spark, sf)
+    scored = ranking.graded_precision_lists(submission.solution_lists(rows), submission.prediction_lists(rows, blend.two_heads()))
+    return scored.select(F.round("group_map", 9).alias("group_map"), "n_sessions")
+
+
 @query("agg_list_length_stats", f"""{views('sessions')} select count(*) as n_sessions, round(avg(n), 9) as mean_items, min(n) as min_items, max(n) as max_items
     from (select session_id, count(*) as n from sessions group by 1)""")
 def agg_list_length_stats(spark, sf):

@@ -28,7 +28,7 @@ def test_query_equals_sql(spark, sf, con, name):
     assert got == rows_of(names, [tuple(r) for r in cur.fetchall()])
 
 
-@pytest.mark.parametrize("name", ["train_wide_linear", "vectorize_text", "hash_bucket_fast"])
+@pytest.mark.parametrize("name", ["vectorize_text", "hash_bucket_fast", "feature_importance", "top_feature_importance", "holdout_group_auc", "tune_parameters"])
 def test_query_without_sql_runs(spark, sf, name):
     assert driver.queries()[name](spark, sf).count() > 0
 
