@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from sessionrank.llm.common import arrow_rows, fixed_columns, small_or_shuffled, texts
 
 SAMPLE = 8_000  # labelled rows the classifier is fitted on, at most
-SAMPLE_CHARS = 20_000  # of one of these rows, at most
 FOLDS = 5  # rows whose crc32(doc_id) is 0 modulo this are never learned from
 WINDOW = 24  # code points of a window at most: a word, or a piece of a longer one
 DICTIONARY = 32_768
@@ -120,7 +119,12 @@ UNSURE = float(np.log(0.49 / 0.51))  # the most that is said of a text without d
 
 
 def fit_texts(body: list[str], toxic: list[int], dictionary: int = DICTIONARY, odds: float | None = None) -> Model:
-    """A model from labelled texts: even places train the dictionaries, odd ones calibrate.
+    """A model from labelled texts."""
+    return fit_windows([windows(t) for t in body], toxic, dictionary, odds)
+
+
+def fit_windows(cut: list[Counter], toxic: list[int], dictionary: int = DICTIONARY, odds: float | None = None) -> Model:
+    """A model from the windows of labelled texts: even places train the dictionaries, odd ones calibrate.
 
     ``odds`` are the log odds of the toxic class among all labelled rows, if the texts are a
     sample with other ones; the curve is moved by the difference. Where the texts give no
@@ -130,12 +134,10 @@ def fit_texts(body: list[str], toxic: list[int], dictionary: int = DICTIONARY, o
     drawn = log_odds(y.sum(), len(y) - y.sum())
     moved = (drawn if odds is None else odds) - drawn
     untold = Model(b"", b"", 1, (min(drawn + moved, UNSURE), 0.0, 0.0))
-    train = list(range(0, len(body), 2))
+    train = list(range(0, len(cut), 2))
     if len(set(toxic)) < 2 or len({toxic[i] for i in train}) < 2:
         return untold
 
-    cut = [windows(t) for t in body]
-
     def counted(rows: list[int]) -> tuple[list[Counter], list[int]]:
         """In how many rows of each class a window stands, and their numbers plus 1."""
         holds, size = [Counter(), Counter()], [1, 1]
@@ -150,9 +152,9 @@ def fit_texts(body: list[str], toxic: list[int], dictionary: int = DICTIONARY, o
         words = [(n, w) for w, n in holds[k].items() if n >= least and (k == 0 or n / size[1] > LIFT * holds[0][w] / size[0])]
         return b"".join(framed(w) for _, w in sorted(words))[-dictionary:]
 
-    tune = list(range(1, len(body), 2))
+    tune = list(range(1, len(cut), 2))
     if len({toxic[i] for i in tune}) < 2:
-        tune = list(range(len(body)))
+        tune = list(range(len(cut)))
     seen, best = counted(train), None
     for many in MANY:
         bodies = [trained(k, many, *seen) for k in (1, 0)]
@@ -169,7 +171,7 @@ def fit_texts(body: list[str], toxic: list[int], dictionary: int = DICTIONARY, o
                 best = (loss, margin, tuple(map(float, w)), many)
     if best is None:
         return untold
-    whole = counted(list(range(len(body))))
+    whole = counted(list(range(len(cut))))
     # the curve is set; the dictionaries may now learn from all rows
     return Model(*[trained(k, best[3], *whole) for k in (1, 0)], best[1], (best[2][0] + moved, *best[2][1:]))
 
@@ -183,8 +185,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from at most ``sample`` labelled rows, chosen by hash of their ids outside the held-out fold.
 
     A documented bound: the classifier is fitted on this sample, scores are given to all rows.
-    Half of the sample is toxic rows if there are as many. Rows without text or label are left out, and of a long text
-    the sample holds the first SAMPLE_CHARS characters.
+    Half of the sample is toxic rows if there are as many. Rows without text or label are left
+    out. Whole texts are cut into windows where they lie; the driver gets the windows of a row and their numbers.
     """
     given = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     given = given.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
@@ -193,11 +195,30 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     for k in (0, 1):
         part = given.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2)
         picked = part if picked is None else picked.union(part)
-    body = F.substring(F.col("text"), 1, SAMPLE_CHARS)
     rows = fixed_columns(docs, "doc_id", "text").where("text is not null").join(small_or_shuffled(picked, sample), "doc_id")
-    found = rows.select("doc_id", body.alias("text"), "toxic", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id", "text").limit(2 * sample).collect()
-    order = sorted(range(len(found)), key=lambda i: found[i].toxic)  # classes apart, so that each is halved
-    return fit_texts([found[i].text for i in order], [found[i].toxic for i in order], odds=log_odds(n.get(1, 0), n.get(0, 0)))
+    made = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("tie", pa.int64()), ("words", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))])
+
+    def run(parts):
+        for part in parts:
+            cut = [windows(t) for t in texts(part.column("text"))]
+            yield arrow_rows(made, [part.column("doc_id"), part.column("toxic"), part.column("tie"), [list(c) for c in cut], [list(c.values()) for c in cut]])
+
+    tied = rows.select("doc_id", "toxic", F.xxhash64("text").alias("tie"), "text")
+    found = tied.mapInArrow(run, "doc_id bigint, toxic int, tie bigint, words array<string>, n array<bigint>")
+    found = found.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "tie").limit(2 * sample).select("toxic", "words", "n").toArrow().combine_chunks()
+    toxic, cut = found.column("toxic").to_pylist(), _counters(found.column("words").combine_chunks(), found.column("n").combine_chunks())
+    del found
+    order = sorted(range(len(toxic)), key=lambda i: toxic[i])  # classes apart, so that each is halved
+    return fit_windows([cut[i] for i in order], [toxic[i] for i in order], odds=log_odds(n.get(1, 0), n.get(0, 0)))
+
+
+def _counters(words: pa.ListArray, n: pa.ListArray) -> list[Counter]:
+    """The windows of rows with their numbers; equal windows are one string."""
+    if not len(words):
+        return []
+    coded, ends = words.flatten().dictionary_encode(), np.asarray(words.offsets) - words.offsets[0].as_py()
+    names, codes, numbers = coded.dictionary.to_pylist(), np.asarray(coded.indices), np.asarray(n.flatten())
+    return [Counter(dict(zip([names[j] for j in codes[a:b].tolist()], numbers[a:b].tolist()))) for a, b in zip(ends, ends[1:])]
 
 
 def score_texts(model: Model, body: list[str], distances: Distances | None) -> np.ndarray:
