@@ -69,6 +69,17 @@ def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, at - at[0]
 
 
+def sliced(parts: Iterator[pa.RecordBatch], column: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``size`` bytes of text, a longer text by itself."""
+    for part in parts:
+        ends = np.cumsum(np.diff(raw_bytes(part.column(column))[1]))
+        at = 0
+        while at < part.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+            yield part.slice(at, stop - at)
+            at = stop
+
+
 # --- hashing of words and shingles ----------------------------------------------------------------
 
 _U = np.uint64

@@ -7,8 +7,9 @@ one; large sets are found by scanning the inverted lists of single prefix shingl
 where this changes is chosen by cost, from the mean length of the lists that a posting meets.
 
 Members of a list are first compared with a few hubs of the list, which joins most groups of near
-copies; then every two members that no chain of links joins yet are compared. So no group is
-compared in all pairs, and no link that would join two groups is missed.
+copies. Rounds follow in which members outside the largest component of a list are compared with
+ever more leaders of it; then every two members that no chain of links joins yet are compared. So
+no group is compared in all pairs, and no link that would join two groups is missed.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionrank.llm.common import arrow_rows, components, fixed_columns, mix, raw_bytes, shingle_hashes, small_or_shuffled, stored, word_hashes
+from sessionrank.llm.common import arrow_rows, components, fixed_columns, mix, raw_bytes, shingle_hashes, small_or_shuffled, sliced, stored, word_hashes
 
 WIDTH = 5
 CELL_BITS = 22
@@ -27,6 +28,8 @@ CHUNK = 1 << 16  # cells in one row of it
 HUBS = 3  # members of a list that all its members are compared with first
 LIST_ROWS = 1_000_000  # postings in one shuffled group, about
 HOT = 200_000  # documents of a shingle from which its list is dealt over several parts
+LEADERS = (4, 16, 64)  # members of a list that its open members meet in rounds, before those still apart meet one by one
+SHORT = 32  # lists up to this length are searched for members that can link with none
 SUBSETS = 600  # at most so many pairs are enumerated for a set
 CLASSES = float(np.log(4 / 3))  # sizes of linked sets differ by this factor at most
 
@@ -82,7 +85,7 @@ def _survey(docs: DataFrame) -> DataFrame:
 
     def scan(parts):
         cells, used = np.zeros(CELLS, np.uint32), False
-        for part in parts:
+        for part in sliced(parts):
             found = Sets(part.column("text"))
             if any(map(len, found.sets)):
                 cells += np.bincount((np.concatenate(found.sets) >> _SHIFT).astype(np.int64), minlength=CELLS).astype(np.uint32)
@@ -183,12 +186,55 @@ def postings(ids: np.ndarray, sets: list[np.ndarray], level: np.ndarray, hot: np
     return out
 
 
-_PART = pa.schema([("part", pa.int32()), ("rows", pa.binary())])
-_LIST = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("size", pa.int32()), ("place", pa.int32())])
+_PART = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("rows", pa.binary())])
+_LIST = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("size", pa.int32()), ("place", pa.int32()), ("met", pa.bool_())])
+
+
+def _packed_rows(rows: np.ndarray) -> bytes:
+    """Postings column by column, ids as differences, bytes of equal weight together; the keys stay as they are."""
+    import zstandard
+
+    def planes(x: np.ndarray) -> bytes:
+        return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+    rest = planes(np.diff(rows["doc"], prepend=np.int64(0))) + planes(rows["size"]) + planes(rows["place"])
+    return np.ascontiguousarray(rows["key"]).tobytes() + zstandard.ZstdCompressor(level=1).compress(rest)
+
+
+def _unpacked_rows(data: bytes, n: int) -> np.ndarray:
+    import zstandard
+
+    rest = zstandard.ZstdDecompressor().decompress(memoryview(data)[8 * n :])
+
+    def planes(at: int, kind: str, width: int) -> np.ndarray:
+        cut = np.frombuffer(rest, np.uint8, n * width, at * n).reshape(width, n)
+        return np.ascontiguousarray(cut.T).view(kind).ravel()
+
+    out = np.empty(n, _POST)
+    out["key"] = np.frombuffer(data, np.uint64, n)
+    out["doc"], out["size"], out["place"] = np.cumsum(planes(0, "<i8", 8)), planes(8, "<i4", 4), planes(12, "<i4", 4)
+    return out
+
+
+def partnered(rows: np.ndarray, edge: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Of postings in lists (their starts and lengths), whether another member can link at all; true in lists longer than SHORT."""
+    met = np.ones(len(rows), bool)
+    for m in range(2, SHORT + 1):
+        at = edge[count == m]
+        step = max(1, 4_000_000 // (m * m))
+        for lo in range(0, len(at), step):
+            which = at[lo : lo + step, None] + np.arange(m)
+            size, doc = rows["size"][which].astype(np.int64), rows["doc"][which]
+            rest = size - 1 - rows["place"][which]
+            x, y = size[:, :, None], size[:, None, :]
+            can = (4 * np.minimum(x, y) >= 3 * np.maximum(x, y)) & (doc[:, :, None] != doc[:, None, :])
+            can &= 7 * (2 + np.minimum(rest[:, :, None], rest[:, None, :])) >= 3 * (x + y)
+            met[which] = can.any(axis=2)
+    return met
 
 
 def _lists(docs: DataFrame, level: np.ndarray, hot: np.ndarray, light: int, parts: int) -> DataFrame:
-    """The postings of keys that two documents or more share: key, doc, size, place.
+    """The postings of keys that two documents or more share: key, doc, size, place, and whether any other member may link.
 
     Postings travel packed, a row per batch and part. Keys of frequent shingles may have lists
     of any length: they are dealt over several parts by document as well, and their lists are left to
@@ -199,7 +245,7 @@ def _lists(docs: DataFrame, level: np.ndarray, hot: np.ndarray, light: int, part
 
     def post(batches):
         seen: set = set()
-        for part in batches:
+        for part in sliced(batches):
             found = Sets(part.column("text"))
             ids = part.column("doc_id").to_pylist()
             take = []
@@ -214,18 +260,20 @@ def _lists(docs: DataFrame, level: np.ndarray, hot: np.ndarray, light: int, part
             order = np.argsort(where, kind="stable")
             rows, where = rows[order], where[order]
             edge = np.flatnonzero(np.diff(where, prepend=-1)).tolist()
-            yield arrow_rows(_PART, [where[edge].tolist(), [rows[a:b].tobytes() for a, b in zip(edge, [*edge[1:], len(rows)])]])
+            spans = list(zip(edge, [*edge[1:], len(rows)]))
+            yield arrow_rows(_PART, [where[edge].tolist(), [b - a for a, b in spans], [_packed_rows(rows[a:b]) for a, b in spans]])
 
     def gather(table: pa.Table) -> pa.Table:
-        rows = np.frombuffer(b"".join(b.as_py() for b in table.column("rows")), _POST)
+        rows = np.concatenate([_unpacked_rows(b.as_py(), n.as_py()) for b, n in zip(table.column("rows"), table.column("n"))])
         rows = rows[np.argsort(rows["key"], kind="stable")]
-        edge = np.flatnonzero(np.diff(rows["key"], prepend=rows["key"][:1] + _U(1)))
-        count = np.diff(edge, append=len(rows))
+        count = np.diff(np.append(np.flatnonzero(np.diff(rows["key"], prepend=rows["key"][:1] + _U(1))), len(rows)))
         rows = rows[np.repeat(count > 1, count) | (rows["place"] < 0)]
-        return pa.table([pa.array(rows["key"].view(np.int64) if len(rows) else np.zeros(0, np.int64)), pa.array(rows["doc"]), pa.array(rows["size"]), pa.array(rows["place"])], schema=_LIST)
+        edge = np.flatnonzero(np.diff(rows["key"], prepend=rows["key"][:1] + _U(1)))
+        met = partnered(rows, edge, np.diff(np.append(edge, len(rows)))) | (rows["place"] < 0)
+        return pa.table([pa.array(np.ascontiguousarray(rows["key"]).view(np.int64)), pa.array(rows["doc"]), pa.array(rows["size"]), pa.array(rows["place"]), pa.array(met)], schema=_LIST)
 
-    packed = docs.mapInArrow(post, "part int, rows binary")
-    made = packed.groupBy("part").applyInArrow(gather, "key bigint, doc bigint, size int, place int")
+    packed = docs.mapInArrow(post, "part int, n int, rows binary")
+    made = packed.groupBy("part").applyInArrow(gather, "key bigint, doc bigint, size int, place int, met boolean")
     return made.withColumn("place", F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")))
 
 
@@ -245,23 +293,44 @@ def _pairs(joined: DataFrame) -> DataFrame:
     return joined.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
 
 
+def _classed(lists: DataFrame) -> DataFrame:
+    return lists.withColumn("class", F.floor(F.log("size") / (CLASSES * 1.001)).cast("int"))
+
+
+def _near_classes(classed: DataFrame) -> DataFrame:
+    return classed.withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)))
+
+
 def _hub_pairs(lists: DataFrame) -> DataFrame:
     """Every member of a list with the list's hubs of its own and the neighbouring size class."""
-    classed = lists.withColumn("class", F.floor(F.log("size") / (CLASSES * 1.001)).cast("int"))
+    classed = _classed(lists)
     first = Window.partitionBy("key", "class").orderBy(F.xxhash64("doc"), "doc")
     hubs = classed.withColumn("n", F.row_number().over(first)).where(F.col("n") <= HUBS).drop("n").alias("y")
-    near = classed.withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1))).alias("x")
-    return _pairs(near.join(hubs, ["key", "class"]).where(_can_link("x", "y")))
+    return _pairs(_near_classes(classed).alias("x").join(hubs, ["key", "class"]).where(_can_link("x", "y")))
+
+
+def _opened(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The lists that hold several components, with the component of every member."""
+    known = lists.drop("component").join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    apart = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    return stored(known.join(apart, "key").select("key", "doc", "size", "place", "component"), "join_open")
 
 
-def _open_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of a list that stand outside its largest component, with all members of other components."""
-    known = lists.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    groups = known.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = groups.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    split = stored(known.join(main, "key").drop("parts"), "join_open")
-    outside = split.where("component <> main").alias("x")
-    return _pairs(outside.join(split.alias("y"), "key").where(_can_link("x", "y") & F.expr("x.component <> y.component")))
+def _open_pairs(opened: DataFrame, seed: int = 0, leaders: int | None = None) -> DataFrame:
+    """Members of a list outside its largest component, with members of its other components.
+
+    With ``leaders``, of every size class only so many members, the first by a hash: as all lists
+    take the same order, a member meets the same few leaders in them. Else all members.
+    """
+    groups = opened.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = groups.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    outside, others, keys = opened.join(main, "key").where("component <> main").drop("main"), opened, ["key"]
+    if leaders is not None:
+        keys = ["key", "class"]
+        order = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), "doc"), "doc")
+        others = _classed(opened).withColumn("n", F.row_number().over(order)).where(F.col("n") <= leaders).drop("n")
+        outside = _near_classes(_classed(outside))
+    return _pairs(outside.alias("x").join(others.alias("y"), keys).where(_can_link("x", "y") & F.expr("x.component <> y.component")))
 
 
 def _likely(pairs: DataFrame, keys: DataFrame, light: int) -> DataFrame:
@@ -283,7 +352,7 @@ def _arrays(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
 
     def sets_of(parts):
-        for part in parts:
+        for part in sliced(parts):
             yield arrow_rows(schema, [part.column("doc_id"), [s.tobytes() for s in Sets(part.column("text"), digests=False).sets]])
 
     return docs.join(small_or_shuffled(wanted), "doc_id", "left_semi").mapInArrow(sets_of, "doc_id bigint, shingles binary")
@@ -334,9 +403,19 @@ def link(docs: DataFrame) -> DataFrame:
         ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
         return stored(_linked(likely, stored(_arrays(docs, ids), "join_sets")), "join_links")
 
-    near = stored(_hub_pairs(lists), "join_pairs")
-    edges = verified(near)
-    more = stored(_open_pairs(lists, components(edges)).join(near, ["a", "b"], "left_anti"), "join_more")
+    able = lists.where("met").drop("met")
+    tested = stored(_hub_pairs(able), "join_pairs")
+    edges = verified(tested)
+    opened = _opened(able, components(edges))
+    for seed, leaders in enumerate(LEADERS):
+        led = stored(_open_pairs(opened, seed, leaders).join(tested, ["a", "b"], "left_anti"), "join_led")
+        if led.isEmpty():
+            break
+        tested, found = tested.union(led), verified(led)
+        if not found.isEmpty():
+            edges = edges.union(found)
+            opened = _opened(opened, components(edges))
+    more = stored(_open_pairs(opened).join(tested, ["a", "b"], "left_anti"), "join_more")
     if not more.isEmpty():
         edges = edges.union(verified(more))
 
