@@ -23,6 +23,7 @@ from sessionrank.llm.common import mix
 
 MARK = "▁"
 HELD_WORDS = 400_000  # encoded words a task keeps
+AT_ONCE = 2_000_000  # characters split into words at a time, but for longer texts
 HELD_PAIRS = 1_000_000  # verdicts on pairs of pieces a task keeps
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _U = np.uint64
@@ -65,14 +66,18 @@ class Pieces:
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces share a hash")
         # where the keys of each top-bits range begin, and the most keys in one range
-        tops = np.searchsorted(self.keys, np.arange((1 << _TOP) + 1, dtype=np.float64) * 2.0 ** (64 - _TOP))
-        self.begins, self.run = tops[:-1].astype(np.int64), int(np.diff(tops).max())
-        self.keys = np.append(self.keys, np.full(self.run, ~_U(0)))
-        self.key_ids = np.append(self.key_ids, np.full(self.run, -1))
+        self.begins = np.append(0, np.cumsum(np.bincount((self.keys >> _U(64 - _TOP)).astype(np.int64), minlength=1 << _TOP)))
         self.unknown = len(self.names)  # stands for one character without a piece of its own
         self.pairs: dict[int, bool] = {}
         self.table = (np.array([1 << 62]), np.array([False]))  # the same verdicts, sorted
-        self.words: dict[str, list[int]] = {}
+        self.lone = np.full(len(self.names) + 1, -1, np.int8)  # whether a piece stands alone, -1 where not asked yet
+        self.lone[self.unknown] = 1
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops the encoded words: numbers of words, and by number the ids one after another."""
+        self.words: dict[str, int] = {}
+        self.flat, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     @staticmethod
     def _key(text: str) -> int:
@@ -109,13 +114,11 @@ class Pieces:
             self.pairs[key] = known
         return known
 
-    def alone(self, piece: int) -> bool:
-        """Whether a piece is the encoding of its own text; a piece that no merges reach is not."""
-        key = -1 - piece
-        known = self.pairs.get(key)
-        if known is None:
-            known = self.pairs[key] = piece == self.unknown or self.merged(self.names[piece]) == [self.names[piece]]
-        return known
+    def alone(self, pieces: np.ndarray) -> np.ndarray:
+        """Whether pieces are the encoding of their own text; a piece that no merges reach is not."""
+        for p in np.unique(pieces[self.lone[pieces] < 0]).tolist():
+            self.lone[p] = self.merged(self.names[p]) == [self.names[p]]
+        return self.lone[pieces] == 1
 
     def _allowed(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Verdicts on many pairs: known ones from a sorted table, new ones worked out once each."""
@@ -130,72 +133,80 @@ class Pieces:
 
     def _renew_table(self) -> None:
         if len(self.pairs) > 1.2 * len(self.table[0]) or len(self.pairs) < len(self.table[0]) - 1:
-            keys = np.fromiter((k for k in self.pairs if k >= 0), np.int64)
+            keys, vals = np.fromiter(self.pairs.keys(), np.int64), np.fromiter(self.pairs.values(), bool)
             order = np.argsort(keys)
-            vals = np.fromiter((v for k, v in self.pairs.items() if k >= 0), bool)
             self.table = (np.append(keys[order], np.int64(1) << 62), np.append(vals[order], False))
 
     def lookup(self, probe: np.ndarray) -> np.ndarray:
         """Piece ids of hashes among the sorted keys, -1 where there is none."""
-        first = self.begins[probe >> _U(64 - _TOP)]
+        top = (probe >> _U(64 - _TOP)).astype(np.int64)
+        at, end = self.begins[top], self.begins[top + 1]
         found = np.full(len(probe), -1, np.int64)
-        for k in range(self.run):
-            hit = self.keys[first + k] == probe
-            found[hit] = self.key_ids[first[hit] + k]
+        row = np.flatnonzero(at < end)
+        while len(row):  # most ranges are empty, the others hold few keys
+            hit = self.keys[at[row]] == probe[row]
+            found[row[hit]] = self.key_ids[at[row[hit]]]
+            row = row[~hit]
+            at[row] += 1
+            row = row[at[row] < end[row]]
         return found
 
     def search(self, words: list[str]) -> list[list[int]]:
-        """Paths of words that all have the same length."""
+        """Ids of words that all have the same length."""
+        ids, count = self.paths(words)
+        return [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])]
+
+    def paths(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Paths of words that all have the same length: their ids one after another, and their numbers of ids."""
         self._renew_table()
         n, m = len(words[0]), len(words)
-        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(m, n).astype(np.uint64) + _U(1)
-        best = np.full((m, n + 1), -np.inf)
-        best[:, 0] = 0.0
-        last = np.full((m, n + 1), -1, np.int64)
-        size = np.zeros((m, n + 1), np.int64)
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(m, n).T.astype(np.uint64) + _U(1)
+        last, size = np.full((n + 1, m), -1, np.int32), np.zeros((n + 1, m), np.int32)
+        best = None if self.merging else np.full((n + 1, m), -np.inf)
+        if best is not None:
+            best[0] = 0.0
         with np.errstate(over="ignore"):
             for end in range(1, n + 1):
-                h, power = np.zeros(m, np.uint64), _U(1)
+                rows, h, power = np.arange(m), np.zeros(m, np.uint64), _U(1)
                 for width in range(1, min(self.longest, end) + 1):
                     begin = end - width
-                    h = h + codes[:, begin] * power
+                    h = h + (codes[begin] if len(rows) == m else codes[begin, rows]) * power
                     power = power * _STEP
-                    piece = self.lookup(mix(h ^ _U(width)))
+                    at = np.flatnonzero(last[begin, rows] >= 0) if begin else np.arange(len(rows))
+                    if not len(at):
+                        continue
+                    piece = self.lookup(mix(h[at] ^ _U(width)))
                     if width == 1:
                         piece[piece < 0] = self.unknown
-                    open_ = (piece >= 0) & (best[:, begin] > -np.inf)
-                    if self.merging:
-                        open_ &= last[:, end] < 0  # one path at most ends here
-                    row = np.flatnonzero(open_)
-                    if not len(row):
+                    at, piece = at[piece >= 0], piece[piece >= 0]
+                    if not len(at):
                         continue
-                    piece = piece[row]
-                    if self.merging:
-                        before = last[row, begin]
-                        if begin == 0:
-                            one, back = np.unique(piece, return_inverse=True)
-                            ok = np.fromiter((self.alone(int(p)) for p in one), bool, len(one))[back]
-                        else:
-                            ok = self._allowed(before, piece)
-                        row, piece, gain = row[ok], piece[ok], np.zeros(int(ok.sum()))
+                    row = rows[at]
+                    if best is None:
+                        ok = self._allowed(last[begin, row].astype(np.int64), piece) if begin else self.alone(piece)
                     else:
-                        gain = np.where(piece == self.unknown, self.lowest - 10.0, self.score[np.minimum(piece, self.unknown - 1)])
-                    total = best[row, begin] + gain
-                    better = total > best[row, end]
-                    row, piece = row[better], piece[better]
-                    best[row, end], last[row, end], size[row, end] = total[better], piece, width
-        if (last[:, n] < 0).any():
-            raise RuntimeError(f"no path through {words[int(np.argmin(last[:, n]))]!r}")
+                        total = best[begin, row] + np.where(piece == self.unknown, self.lowest - 10.0, self.score[np.minimum(piece, self.unknown - 1)])
+                        ok = total > best[end, row]
+                        best[end, row[ok]] = total[ok]
+                    last[end, row[ok]], size[end, row[ok]] = piece[ok], width
+                    if best is None and ok.any():  # one path at most ends here
+                        rest = np.ones(len(rows), bool)
+                        rest[at[ok]] = False
+                        rows, h = rows[rest], h[rest]
+                        if not len(rows):
+                            break
+        if (last[n] < 0).any():
+            raise RuntimeError(f"no path through {words[int(np.argmin(last[n]))]!r}")
         at, rows, steps = np.full(m, n), np.arange(m), []
         while at.any():
-            steps.append(np.where(at > 0, last[rows, at], -1))
-            at = at - size[rows, at]
+            steps.append(np.where(at > 0, last[at, rows], -1))
+            at = at - size[at, rows]
         paths = np.stack(steps[::-1], axis=1)
-        lengths, strange = (paths >= 0).sum(axis=1).tolist(), (paths == self.unknown).any(axis=1).tolist()
-        out = [path[-count:] for path, count in zip(paths.tolist(), lengths)]
-        for k in np.flatnonzero(strange).tolist():
-            out[k] = self._bytes(words[k], out[k])
-        return out
+        there, strange = paths >= 0, (paths == self.unknown).any(axis=1)
+        if not strange.any():
+            return paths[there], there.sum(axis=1)
+        made = [np.array(self._bytes(w, p[t].tolist()) if odd else p[t], np.int32) for w, p, t, odd in zip(words, paths, there, strange)]
+        return np.concatenate(made), np.fromiter(map(len, made), np.int64, m)
 
     def _bytes(self, word: str, path: list[int]) -> list[int]:
         """The path with unknown characters as the pieces of their bytes."""
@@ -216,7 +227,7 @@ class Pieces:
                 p = self.id_of.get(word[begin:end], self.unknown if width == 1 else -1)
                 if p < 0 or (begin and last[begin] < 0):
                     continue
-                if self.fits(last[begin], p) if begin else self.alone(p):
+                if self.fits(last[begin], p) if begin else self.alone(np.array([p]))[0]:
                     last[end], size[end] = p, width
                     break  # no other piece can end here
         path, at = [], n
@@ -225,31 +236,51 @@ class Pieces:
             at -= size[at]
         return self._bytes(word, path[::-1])
 
-    def encode(self, body: list[str]) -> list[list[int]]:
-        """Ids of texts; unseen words are searched in groups of equal length."""
-        split = [_WORD.findall(self.prefix + t.replace(" ", MARK)) if t else [] for t in body]
-        fresh = {w for words in split for w in words if w not in self.words}
-        if len(self.words) + len(fresh) > HELD_WORDS:
-            self.words = {}
-            fresh = {w for words in split for w in words}
+    def _learn(self, fresh: list[str]) -> None:
+        """Searches words in groups of equal length and keeps their ids."""
         groups: dict[int, list[str]] = {}
         for w in fresh:
             groups.setdefault(len(w), []).append(w)
-        made = self.words
+        flat, counts = [self.flat], []
         for length, words in groups.items():
-            if self.merging and length * len(words) > 0 and len(words) < 8:
-                made.update((w, self.search_one(w)) for w in words)
-                continue
-            step = max(1, 400_000 // (length + 1))
-            for i in range(0, len(words), step):
-                made.update(zip(words[i : i + step], self.search(words[i : i + step])))
-        out = []
-        for words in split:
-            ids: list[int] = []
-            for w in words:
-                ids += made[w]
-            out.append(ids)
-        return out
+            if self.merging and len(words) < 8:
+                for w in words:
+                    flat.append(np.array(self.search_one(w), np.int32))
+                    counts.append([len(flat[-1])])
+            else:
+                step = max(1, 400_000 // (length + 1))
+                for i in range(0, len(words), step):
+                    ids, count = self.paths(words[i : i + step])
+                    flat.append(ids)
+                    counts.append(count)
+            at = len(self.words)
+            self.words.update(zip(words, range(at, at + len(words))))
+        self.flat = np.concatenate(flat)
+        self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(np.concatenate(counts)))
+
+    def encode(self, body: list[str]) -> Iterator[np.ndarray]:
+        """Ids of texts; unseen words are searched in groups of equal length, for some megabytes of text at a time."""
+        at = 0
+        while at < len(body):
+            stop, held = at, 0
+            while stop < len(body) and (stop == at or held + len(body[stop]) <= AT_ONCE):
+                held += len(body[stop])
+                stop += 1
+            split = [_WORD.findall(self.prefix + t.replace(" ", MARK)) if t else [] for t in body[at:stop]]
+            seen = set().union(*split)
+            fresh = [w for w in seen if w not in self.words]
+            if len(self.words) + len(fresh) > HELD_WORDS and self.words:
+                self.forget()
+                fresh = list(seen)
+            if fresh:
+                self._learn(fresh)
+            for words in split:
+                which = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+                start, stops = self.ends[which], self.ends[which + 1]
+                count = stops - start
+                place = np.repeat(stops - np.cumsum(count), count) + np.arange(int(count.sum()))
+                yield self.flat[place]
+            at = stop
 
     def decode(self, ids) -> str:
         """The text of ids; bytes that form no UTF-8 become replacement characters."""
@@ -288,7 +319,7 @@ def _over_batches(model_path: str, way: str):
             known = [i for i, x in enumerate(part) if x is not None]
             made: list = [None] * len(part)
             given = [part.iloc[i] for i in known]
-            done = [np.array(x, np.int32) for x in model.encode(given)] if way == "encode" else map(model.decode, given)
+            done = model.encode(given) if way == "encode" else map(model.decode, given)
             for i, x in zip(known, done):
                 made[i] = x
             yield pd.Series(made, dtype=object)
