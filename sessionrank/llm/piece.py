@@ -285,7 +285,7 @@ class Pieces:
     def decode(self, ids) -> str:
         """The text of ids; bytes that form no UTF-8 become replacement characters."""
         parts, held = [], bytearray()
-        for i in ids:
+        for i in np.asarray(ids, np.int64).tolist():
             if self.kinds[i] == 6:
                 held.append(int(self.names[i][3:5], 16))
                 continue
