@@ -57,11 +57,15 @@ def _edge(data: bytes, at: int) -> int:
     return at
 
 
-def resynchronised(model: Piecewise, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> np.ndarray:
-    """The ids of a text of any length, equal to one encoding of the whole."""
+def spliced(model: Piecewise, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[np.ndarray]:
+    """The ids of a text of any length in order, in pieces, together equal to one encoding of the whole.
+
+    A splice touches the last piece alone; earlier ones join it only when an overlap is widened
+    back to them, so that the work grows with the text.
+    """
     data = text.replace("▁", " ").encode()  # the model reads both alike; now every mark has one byte
     end = _edge(data, min(len(data), chunk))
-    places, ids = model.at(data, 0, end)
+    pieces = [model.at(data, 0, end)]
     while end < len(data):
         upto = _edge(data, min(len(data), end + chunk))
         width = overlap
@@ -69,8 +73,14 @@ def resynchronised(model: Piecewise, text: str, chunk: int = CHUNK, overlap: int
             start = _edge(data, max(0, end - width))
             more, new = model.at(data, start, upto)
             if start == 0:
-                places, ids = more, new
+                pieces = [(more, new)]
                 break
+            if pieces[-1][0][0] > start:
+                first = len(pieces) - 1
+                while first and pieces[first][0][0] > start:
+                    first -= 1
+                pieces[first:] = [tuple(np.concatenate(side) for side in zip(*pieces[first:]))]
+            places, ids = pieces[-1]
             # tokens of the new encoding that the old one holds at the same place with the same id
             inside = int(np.searchsorted(more, end))
             where = np.searchsorted(places, more[:inside])
@@ -79,11 +89,16 @@ def resynchronised(model: Piecewise, text: str, chunk: int = CHUNK, overlap: int
             if len(same):
                 j = int(same[0])
                 i = int(where[j])
-                places, ids = np.concatenate([places[:i], more[j:]]), np.concatenate([ids[:i], new[j:]])
+                pieces[-1:] = [(places[:i], ids[:i])] * (i > 0) + [(more[j:], new[j:])]
                 break
             width = 2 * width + 1  # an odd step also shifts the phase of a repeating run
         end = upto
-    return ids
+    return [ids for _, ids in pieces]
+
+
+def resynchronised(model: Piecewise, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> np.ndarray:
+    """The ids of ``spliced`` in one array."""
+    return np.concatenate(spliced(model, text, chunk, overlap))
 
 
 def counts(docs: DataFrame, model_path: str, limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -104,7 +119,7 @@ def counts(docs: DataFrame, model_path: str, limit: int = LIMIT, chunk: int = CH
                 n[i] = len(ids)
             for i, s in enumerate(size):
                 if s > chunk:
-                    n[i] = len(resynchronised(model, body[i], chunk, overlap))
+                    n[i] = sum(map(len, spliced(model, body[i], chunk, overlap)))
             yield arrow_rows(_COUNTS, [part.column("doc_id"), size, n])
 
     made = fixed_columns(docs, "doc_id", "text").mapInArrow(count, "doc_id bigint, n_bytes bigint, n_tokens bigint")
