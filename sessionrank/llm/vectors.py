@@ -27,6 +27,9 @@ def nodes(rows: DataFrame, ids: int, name: str) -> DataFrame:
 
     Copies meet in an aggregation with partial sums; of the ids only the smallest are kept, before and after the exchange.
     """
+    if ids == 1:
+        one = rows.groupBy("embedding").agg(F.count(F.lit(1)).alias("n"), F.array(F.min("vec_id")).alias("ids"))
+        return stored(one, name).select(F.monotonically_increasing_id().alias("node"), F.size("embedding").alias("dim"), "n", "ids", "embedding")
     first = Window.partitionBy("embedding").orderBy("vec_id")
     small = rows.withColumn("r", F.row_number().over(first)).where(F.col("r") <= ids).groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     count = rows.groupBy("embedding").agg(F.count(F.lit(1)).alias("n"))
