@@ -6,8 +6,9 @@ its cell by one or two steps, the least sum of squared distances to the cell bor
 candidates of all tables are merged and ranked by their exact cosine.
 
 The number of probes is calibrated: for a bounded sample of queries the true neighbours are
-found over all rows, and the fewest probes that reach the wanted recall on them are taken. Equal
-vectors are indexed once, with as many of their smallest ids as a result can show.
+found over all rows, and the fewest probes that reach the wanted recall on them are taken.
+Queries that find too few go on with more probes, round by round. Equal vectors are indexed
+once, with as many of their smallest ids as a result can show.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from sessionrank.llm.vectors import by_length, matrix, nodes, unit, valid
 TABLES = 4
 FUNCTIONS = 10
 CELL = 3.0
-PROBES = (16, 32, 64, 128, 256, 512)
+PROBES = (16, 32, 64, 128, 256, 512, 1024, 2048, 4096)
+NARROW = 512  # probes looked at first in the calibration
+WIDER = 8  # times as many probes in the next round of a query that found too few
 RECALL = 0.95  # aimed at on the sample; 0.9 is asked for
 SAMPLE = 128  # queries of the calibration, at most
 BLOCK = 4096  # rows of a bucket in one task
@@ -150,14 +153,22 @@ def _ranked(found: DataFrame, queries: DataFrame, index: DataFrame, k: int) -> D
 
 def calibrated(sample: list, truth: list, recall: float = RECALL) -> int | None:
     """The fewest probes by which the true neighbours (query, vector) of the sample are reached; None if none of PROBES does."""
-    vectors = {q: unit(np.array(v, np.float64)[None, :]) for q, v in sample}
-    reached: list[int] = []
-    order = {(q, at): {b: i for i, b in reversed(list(enumerate(visited(*[z[0] for z in cells(x, at)], PROBES[-1]).tolist())))} for q, x in vectors.items() for at in range(TABLES)}
-    for q, v in truth:
-        x = unit(np.array(v, np.float64)[None, :])
-        reached.append(min(order[q, at].get(int(bucket(cells(x, at)[0])[0]), PROBES[-1]) for at in range(TABLES)))
-    hit = np.array(reached)
-    return next((n for n in PROBES if not len(hit) or (hit < n).mean() >= recall), None)
+
+    def placed(v, at):
+        h, place = cells(unit(np.array(v, np.float64)[None, :]), at)
+        return h[0], place[0]
+
+    homes = [(q, [int(bucket(placed(v, at)[0][None, :])[0]) for at in range(TABLES)]) for q, v in truth]
+    if not homes:
+        return PROBES[0]
+    for upto in (NARROW, PROBES[-1]):
+        order = {(q, at): visited(*placed(v, at), upto) for q, v in sample for at in range(TABLES)}
+        hits = [[np.flatnonzero(order[q, at] == home[at]) for at in range(TABLES)] for q, home in homes]
+        reached = np.array([min((int(h[0]) for h in hit if len(h)), default=upto) for hit in hits])
+        for n in PROBES:
+            if n <= upto and (reached < n).mean() >= recall:
+                return n
+    return None
 
 
 def search(df: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
@@ -166,7 +177,8 @@ def search(df: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     Nearness is the cosine in double precision, among vectors of one length; ties go to the smaller id. Vectors null, zero or
     with null or non-finite components, and rows without an id, take no part. Rows that repeat
     an id are one query for each vector they hold, and no answers to it; equal vectors of other ids are
-    answers each. A query with fewer than ``k`` found is answered by comparing it with all rows.
+    answers each. A query with fewer than ``k`` found, of more there are, goes on with ever more probes, up to the
+    last of PROBES; only then, and where no number of probes reaches the recall on the sample, every bucket is visited.
     Other columns are not read; no rows give no rows.
     """
     spark = df.sparkSession
@@ -187,13 +199,25 @@ def search(df: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
 
     keys = ["at", "bucket", "dim"]
     homes = _bucketed(rows.repartition(parts), "node", None).withColumnRenamed("ident", "node").join(rows, "node")
-    visits = _bucketed(queries.repartition(parts), "query", most).withColumnRenamed("ident", "query").join(queries.select("query", "dim", "embedding"), "query")
-    found = stored(_ranked(_meet(visits, homes, keys, k + 1), queries, index, k), "neighbours")
     others = index.groupBy("dim").agg(F.sum("n").alias("rows"))
-    held = found.groupBy("query").agg(F.count(F.lit(1)).alias("held"))
-    short = queries.join(held, "query", "left").join(others, "dim").where((F.coalesce("held", F.lit(0)) < k) & (F.coalesce("held", F.lit(0)) < F.col("rows") - 1))
-    short = stored(short.select("query", "query_id", "dim", "embedding"), "query_rest")
-    if not short.isEmpty():
-        rest = _ranked(_meet(short.select("query", "dim", "embedding"), rows, ["dim"], k + 1), short, index, k)
-        found = found.join(short.select("query"), "query", "left_anti").unionByName(rest)
+
+    def probed(some: DataFrame) -> DataFrame:
+        visits = _bucketed(some.repartition(parts), "query", most).withColumnRenamed("ident", "query").join(some.select("query", "dim", "embedding"), "query")
+        return stored(_ranked(_meet(visits, homes, keys, k + 1), some, index, k), "neighbours")
+
+    def unfilled(some: DataFrame, found: DataFrame) -> DataFrame:
+        held = found.groupBy("query").agg(F.count(F.lit(1)).alias("held"))
+        short = some.join(held, "query", "left").join(others, "dim").where((F.coalesce("held", F.lit(0)) < k) & (F.coalesce("held", F.lit(0)) < F.col("rows") - 1))
+        return stored(short.select("query", "query_id", "dim", "embedding"), "query_rest")
+
+    found = probed(queries)
+    short = unfilled(queries, found)
+    while not short.isEmpty():
+        last = most == PROBES[-1]
+        most = min(PROBES[-1], WIDER * most)
+        more = stored(_ranked(_meet(short.select("query", "dim", "embedding"), rows, ["dim"], k + 1), short, index, k), "neighbours") if last else probed(short)
+        found = found.join(short.select("query"), "query", "left_anti").unionByName(more)
+        if last:
+            break
+        short = unfilled(short, more)
     return found.select("query_id", "rank", "vec_id", "score")
