@@ -384,8 +384,8 @@ def link(docs: DataFrame) -> DataFrame:
     Words are parted by ASCII white space, A-Z lowered. Fewer than five words are one shingle;
     an empty or null text has none and is its own component. Equal texts are one node of the
     graph, whatever their number. A row without an id links with nothing and has a null
-    component; rows that repeat an id are documents of their own. Other columns are not read; no
-    rows give no rows.
+    component; rows that repeat an id are one node, linked by each of their texts, with a row and
+    a set size each. Other columns are not read; no rows give no rows.
     """
     spark = docs.sparkSession
     docs = fixed_columns(docs, "doc_id", "text")
