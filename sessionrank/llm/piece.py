@@ -258,8 +258,12 @@ class Pieces:
         self.flat = np.concatenate(flat)
         self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(np.concatenate(counts)))
 
-    def encode(self, body: list[str]) -> Iterator[np.ndarray]:
-        """Ids of texts; unseen words are searched in groups of equal length, for some megabytes of text at a time."""
+    def encode(self, body: list[str]) -> list[list[int]]:
+        """Ids of texts as plain lists."""
+        return [ids.tolist() for ids in self.encoded(body)]
+
+    def encoded(self, body: list[str]) -> Iterator[np.ndarray]:
+        """Ids of texts one by one; unseen words are searched in groups of equal length, for some megabytes of text at a time."""
         at = 0
         while at < len(body):
             stop, held = at, 0
@@ -319,7 +323,7 @@ def _over_batches(model_path: str, way: str):
             known = [i for i, x in enumerate(part) if x is not None]
             made: list = [None] * len(part)
             given = [part.iloc[i] for i in known]
-            done = model.encode(given) if way == "encode" else map(model.decode, given)
+            done = model.encoded(given) if way == "encode" else map(model.decode, given)
             for i, x in zip(known, done):
                 made[i] = x
             yield pd.Series(made, dtype=object)
