@@ -115,3 +115,19 @@ def test_blend_grids_over_packed_and_large_sessions(scored):
     assert a == pytest.approx(b)
     none = blend.score_weights(df.where("ordered > 5"), [0.2, 0.4]).collect()
     assert [(r.w, r.score, r.n_ordered) for r in none] == [(0.2, 0.5, 0), (0.4, 0.5, 0)]
+
+
+def test_list_rows_reads_each_side_once(spark):
+    base = spark.range(4).withColumnRenamed("id", "session_id")
+    truth = base.selectExpr("session_id", "if(session_id = 1, null, '1 2') as ordered_items", "'2' as clicked_items", "'1 2 3' as all_items")
+    pred = spark.range(1, 6).selectExpr("nullif(id, 5) as session_id", "if(id = 2, null, '3 3 1 9') as prediction")
+    twice = truth.unionByName(truth.where("session_id = 3"))
+    rows = ranking.list_rows(truth, pred)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 2
+    plain = [("1", 2, "x"), ("2", None, "oc"), ("3", 1, "x"), ("9", 3, "-")]
+    for found in (rows, ranking.list_rows(twice, pred.unionByName(pred)), ranking.list_rows(truth, pred, written=True)):
+        got = {(r["session_id"], r["item"]): (r["rank"], r["ordered"], r["clicked"], r["in_truth"]) for r in found.collect()}
+        assert len(got) == found.count() == 4 + 3 + 4
+        assert [got[3, i][0] for i, _, _ in plain] == [p for _, p, _ in plain]
+        assert got[3, "2"] == (None, 1, 1, 1) and got[3, "9"] == (3, 0, 0, 0) and got[3, "1"] == (2, 1, 0, 1)
+        assert got[1, "2"] == (None, 0, 1, 1) and got[1, "1"] == (2, 0, 0, 1) and got[2, "3"] == (None, 0, 0, 1)
