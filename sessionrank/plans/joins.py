@@ -205,11 +205,13 @@ def enriched(spark, sf):
         "ts": (fx.term_search_log(spark, sf), ["search_term"], "ts_hour", SEARCH),
     }
     return enrich(
-        fx.sessions(spark, sf, term=True).select(*SESSION_KEEP, "search_term", "ordered", "clicked"),
+        fx.session_items(spark, sf, dealt=True).select("session_id", "content_id", "ordered", "clicked"),
         fx.content_metadata(spark, sf).select("content_id", "leaf_category", *META_NUM),
         fx.user_metadata(spark, sf),
         Latest(items, PRICE_COLS, "date"),
         logs,
+        heads=fx.session_heads(spark, sf),
+        asked=items,
     )
 
 

@@ -49,3 +49,21 @@ def test_enrichment_scans_each_source_once(spark, sf):
     plan = driver.queries()["asof_enrich_all"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
     assert len(scans) <= 9 and sum("l_partkey" in line or "l_orderkey" in line for line in scans) <= 4
+
+
+def test_enrichment_exchanges_few_times(spark, sf):
+    """Rows once by session and once by item, heads once by shopper, whatever the number of logs; nothing of theirs travels back."""
+    plan = driver.queries()["asof_enrich_all"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 6
+
+
+@pytest.mark.parametrize("most, narrow", [(0, 1_000_000), (0, 0)])
+def test_enrichment_of_crowded_keys_is_the_same(spark, sf, monkeypatch, most, narrow):
+    from sessionrank.operators import enrich, history
+
+    wanted = driver.queries()["asof_enrich_all"](spark, sf)
+    monkeypatch.setattr(history, "MOST", most)
+    monkeypatch.setattr(enrich, "NARROW_ROWS", narrow)
+    got = driver.queries()["asof_enrich_all"](spark, sf)
+    assert got.columns == wanted.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, wanted.collect()))

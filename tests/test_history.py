@@ -95,3 +95,27 @@ def test_one_log_row_three_later_hours(spark):
     log = spark.createDataFrame([("u", at(0), 5)], "k string, ts_hour timestamp_ntz, n int")
     ask = spark.createDataFrame([("u", at(h)) for h in (0, 1, 2, 3, 3)], "k string, ts_hour timestamp_ntz")
     assert history.past_multiplicity(log, ask, ["k"]).first()["later_hours"] == 3
+
+
+def test_dealt_rows_find_what_timelines_find(spark):
+    pick = random.Random(5)
+    def some(kinds):
+        return [pick.choice(k) for k in kinds]
+    keys, terms = ["a", "b", "c", None], ["x", "y", None]
+    left = spark.createDataFrame([(*some([keys, terms]), pick.choice([None, at(pick.randrange(30), 20)]), i) for i in range(200)] + [("a", "x", at(3), 1)], "k string, term string, ts_hour timestamp_ntz, rid int")
+    site = spark.createDataFrame([(pick.choice(keys), at(pick.randrange(30), pick.randrange(60)), pick.choice([1, 2, None]), pick.choice([None, 1.0, 7.0])) for _ in range(80)], "k string, date timestamp_ntz, n int, price double")
+    termed = spark.createDataFrame([(*some([keys, terms]), at(pick.randrange(30)), pick.choice([1, 5])) for _ in range(80)], "k string, term string, ts_hour timestamp_ntz, n int")
+    by_key = [Latest(site, ["price", "n"], "date"), Running(site, {"total": "n", "seen": F.lit(1)}, "date"), Running(termed, {"other": "n"})]
+    by_both = [Running(termed, {"pair": "n"})]
+    plain = history.as_of(history.as_of(left, ["k"], by_key), ["k", "term"], by_both)
+    for total in (0, 50_000_000):  # as many tasks as the session has, and more
+        dealt = history.as_of_dealt(left, ["k"], [(["k"], by_key), (["k", "term"], by_both)], total=total)
+        assert dealt.schema == plain.schema
+        assert dealt._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        assert sorted(dealt.collect(), key=repr) == sorted(plain.collect(), key=repr)
+
+
+def test_crowding_bounds_the_rows_of_a_key(spark):
+    left = spark.createDataFrame([("a",)] * 3 + [(None,)] * 5, "k string")
+    assert history.crowding([left, left.where("k = 'a'")], ["k"]) == (11, 6)
+    assert history.crowding([left.limit(0)], ["k"]) == (0, 0)
