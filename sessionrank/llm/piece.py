@@ -52,6 +52,7 @@ class Pieces:
         self.id_of = {p.piece: i for i, p in enumerate(model.pieces) if p.type == 1}
         self.lowest = min(model.pieces[i].score for i in self.id_of.values())
         self.score = np.array([p.score for p in model.pieces], np.float64)
+        self.scores = self.score.tolist()
         self.byte_ids = [next((i for i, p in enumerate(model.pieces) if p.type == 6 and int(p.piece[3:5], 16) == b), None) for b in range(256)]
         if None in self.byte_ids:
             raise ValueError("only models with byte pieces are supported")
@@ -89,16 +90,25 @@ class Pieces:
 
     def merged(self, text: str) -> list[str]:
         """The model's merges, the best-scored neighbour pair first, the left one among equals."""
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                k = self.id_of.get(parts[i] + parts[i + 1])
-                if k is not None and (best is None or self.score[k] > best):
-                    best, at = self.score[k], i
-            if at < 0:
-                return parts
+        parts, get, scores, none = list(text), self.id_of.get, self.scores, -np.inf
+
+        def value(i: int) -> float:
+            k = get(parts[i] + parts[i + 1])
+            return none if k is None else scores[k]
+
+        values = [value(i) for i in range(len(parts) - 1)]
+        while values:
+            best = max(values)
+            if best == none:
+                break
+            at = values.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del values[at]  # of the other pairs only the two beside the merge change
+            if at:
+                values[at - 1] = value(at - 1)
+            if at < len(values):
+                values[at] = value(at)
+        return parts
 
     def fits(self, left: int, right: int) -> bool:
         """Whether the pair stands as two tokens in the encoding of its joined text."""
@@ -205,8 +215,13 @@ class Pieces:
         there, strange = paths >= 0, (paths == self.unknown).any(axis=1)
         if not strange.any():
             return paths[there], there.sum(axis=1)
-        made = [np.array(self._bytes(w, p[t].tolist()) if odd else p[t], np.int32) for w, p, t, odd in zip(words, paths, there, strange)]
-        return np.concatenate(made), np.fromiter(map(len, made), np.int64, m)
+        ids, count = paths[there].astype(np.int32), there.sum(axis=1)
+        ends, made, at = np.cumsum(count), [], 0
+        for i in np.flatnonzero(strange).tolist():  # only these are spelled out one by one
+            begin, end = int(ends[i] - count[i]), int(ends[i])
+            made += [ids[at:begin], np.array(self._bytes(words[i], ids[begin:end].tolist()), np.int32)]
+            at, count[i] = end, len(made[-1])
+        return np.concatenate([*made, ids[at:]]), count
 
     def _bytes(self, word: str, path: list[int]) -> list[int]:
         """The path with unknown characters as the pieces of their bytes."""

@@ -150,6 +150,29 @@ def test_viterbi_equals_the_library_and_decodes(model):
     assert pieces.search([piece.MARK + w for w in some]) == [pieces.search_one(piece.MARK + w) for w in some]
 
 
+def test_pieces_spend_little_on_plain_ids_and_merges(model):
+    """Only bytes are spelled out one by one, and a merge looks up the pairs beside it, not all pairs anew."""
+    pieces = piece.Pieces(MODEL)
+    strange = [piece.MARK + w for w in ("plain", "other", "w\u0378rld", "x\u0378\u0379yz", "third")]
+    asked, spell = [], pieces._bytes
+    pieces._bytes = lambda word, path: asked.append(word) or spell(word, path)
+    ids, count = pieces.paths(strange)
+    assert asked == strange[2:4]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == model.ids([w[1:] for w in strange])
+
+    class Counted(dict):
+        looked = 0
+
+        def get(self, *args):
+            Counted.looked += 1
+            return super().get(*args)
+
+    word = piece.MARK + "internationalisation"
+    plain = pieces.merged(word)
+    pieces.id_of = Counted(pieces.id_of)
+    assert pieces.merged(word) == plain and Counted.looked <= 3 * len(word)
+
+
 def test_viterbi_query(spark, sf):
     assert all(r.round_trip for r in run("op6_piece_viterbi", spark, sf))
 
