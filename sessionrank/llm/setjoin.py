@@ -7,9 +7,10 @@ one; large sets are found by scanning the inverted lists of single prefix shingl
 where this changes is chosen by cost, from the mean length of the lists that a posting meets.
 
 Members of a list are first compared with a few hubs of the list, which joins most groups of near
-copies. Rounds follow in which members outside the largest component of a list are compared with
-ever more leaders of it; then every two members that no chain of links joins yet are compared. So
-no group is compared in all pairs, and no link that would join two groups is missed.
+copies and leaves nothing to compare in a short list. Rounds follow in which members outside the
+largest component of a longer list are compared with ever more leaders of it; then every two members
+that no chain of links joins yet are compared. So no group is compared in all pairs, and no link that
+would join two groups is missed.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionrank.llm.common import arrow_rows, components, fixed_columns, mix, raw_bytes, shingle_hashes, small_or_shuffled, sliced, stored, word_hashes
+from sessionrank.llm.common import BROADCAST_ROWS, arrow_rows, components, fixed_columns, mix, raw_bytes, shingle_hashes, small_or_shuffled, sliced, stored, word_hashes
 
 WIDTH = 5
 CELL_BITS = 22
@@ -118,14 +119,23 @@ def _levels(survey: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
 
     # two steps, so that a group has few rows however many tasks there were
     pieces = pieces.groupBy("chunk", "salt").applyInArrow(add, "chunk int, cells binary").groupBy("chunk").applyInArrow(add, "chunk int, cells binary")
-    cells = np.zeros(CELLS, np.float64)
+    cells = np.zeros(CELLS, np.uint32)
     for row in pieces.collect():  # CELLS counters, whatever the corpus
         cells[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = _unpacked(bytes(row.cells))
+    return leveled(cells)
+
+
+def leveled(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """What ``_levels`` returns, a chunk at a time: in the driver nothing wider than the counters themselves is held for all cells."""
     noise = float(np.median(cells))
     spread = max(1.0, float(np.sqrt(noise)))
-    over = np.maximum(cells - noise, 0.0)
-    level = np.where(over > 4 * spread, 1 + np.log2(np.maximum(over / (4 * spread), 1.0)), 0.0)
-    return np.floor(level).astype(np.uint8), over > HOT, float((over**2).sum() / max(1.0, cells.sum()))
+    level, hot, squares = np.empty(len(cells), np.uint8), np.empty(len(cells), bool), 0.0
+    for at in range(0, len(cells), CHUNK):
+        part = slice(at, at + CHUNK)
+        over = np.maximum(cells[part] - noise, 0.0)
+        level[part] = np.floor(np.where(over > 4 * spread, 1 + np.log2(np.maximum(over / (4 * spread), 1.0)), 0.0))
+        hot[part], squares = over > HOT, squares + float((over**2).sum())
+    return level, hot, squares / max(1.0, float(cells.sum(dtype=np.uint64)))
 
 
 def boundary(mean_list: float) -> int:
@@ -187,7 +197,7 @@ def postings(ids: np.ndarray, sets: list[np.ndarray], level: np.ndarray, hot: np
 
 
 _PART = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("rows", pa.binary())])
-_LIST = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("size", pa.int32()), ("place", pa.int32()), ("met", pa.bool_())])
+_LIST = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("size", pa.int32()), ("place", pa.int32()), ("hot", pa.bool_()), ("open", pa.bool_()), ("hub", pa.int64())])
 
 
 def _packed_rows(rows: np.ndarray) -> bytes:
@@ -233,12 +243,49 @@ def partnered(rows: np.ndarray, edge: np.ndarray, count: np.ndarray) -> np.ndarr
     return met
 
 
+def hub_pairs(rows: np.ndarray, hubs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of postings of whole lists: the pairs (smaller id, larger id) of every member with the first
+    ``hubs`` members, by a hash, of its own and the neighbouring size classes of its list that sizes and
+    places allow; and for every posting whether its list has two members or more that are no hubs.
+    """
+    size = rows["size"].astype(np.int64)
+    kind = np.floor(np.log(size) / (CLASSES * 1.001)).astype(np.int64)
+    order = np.lexsort((rows["doc"], mix(rows["doc"].view(np.uint64)), kind, rows["key"]))
+    rows, size, kind = rows[order], size[order], kind[order]
+    key, doc, rest = rows["key"], rows["doc"], size - 1 - rows["place"]
+    n = len(rows)
+    fresh = np.ones(n, bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])
+    start = np.flatnonzero(fresh)
+    group, end = np.cumsum(fresh) - 1, np.append(start[1:], n)
+    found = [np.empty((0, 2), np.int64)]
+    for step in (-1, 0, 1):
+        other = group + step
+        near = np.flatnonzero((other >= 0) & (other < len(start)))
+        first = start[other[near]]
+        near, first = (x[(key[first] == key[near]) & (abs(kind[first] - kind[near]) <= 1)] for x in (near, first))
+        for k in range(hubs):
+            inside = first + k < end[group[first]]
+            x, y = near[inside], first[inside] + k
+            can = (4 * np.minimum(size[x], size[y]) >= 3 * np.maximum(size[x], size[y])) & (doc[x] != doc[y])
+            can &= 7 * (2 + np.minimum(rest[x], rest[y])) >= 3 * (size[x] + size[y])
+            x, y = doc[x[can]], doc[y[can]]
+            found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0))
+    plain = np.arange(n) - start[group] >= hubs
+    first = np.ones(n, bool)
+    first[1:] = key[1:] != key[:-1]
+    left = np.empty(n, bool)
+    left[order] = (np.add.reduceat(plain.astype(np.int64), np.flatnonzero(first)) > 1)[np.cumsum(first) - 1] if n else False
+    return np.unique(np.concatenate(found), axis=0), left
+
+
 def _lists(docs: DataFrame, level: np.ndarray, hot: np.ndarray, light: int, parts: int) -> DataFrame:
-    """The postings of keys that two documents or more share: key, doc, size, place, and whether any other member may link.
+    """The postings of keys that two documents or more share (key, doc, size, place), and pairs of members with hubs (doc, hub).
 
     Postings travel packed, a row per batch and part. Keys of frequent shingles may have lists
-    of any length: they are dealt over several parts by document as well, and their lists are left to
-    the joins that follow, which can split them.
+    of any length: they are dealt over several parts by document as well, marked as ``hot``, and
+    left to the joins that follow, which can split them. Other lists are whole in their part, where their
+    members meet the hubs. ``open`` are postings with which more may link than the hubs of their list.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((level, hot))
@@ -269,12 +316,19 @@ def _lists(docs: DataFrame, level: np.ndarray, hot: np.ndarray, light: int, part
         count = np.diff(np.append(np.flatnonzero(np.diff(rows["key"], prepend=rows["key"][:1] + _U(1))), len(rows)))
         rows = rows[np.repeat(count > 1, count) | (rows["place"] < 0)]
         edge = np.flatnonzero(np.diff(rows["key"], prepend=rows["key"][:1] + _U(1)))
-        met = partnered(rows, edge, np.diff(np.append(edge, len(rows)))) | (rows["place"] < 0)
-        return pa.table([pa.array(np.ascontiguousarray(rows["key"]).view(np.int64)), pa.array(rows["doc"]), pa.array(rows["size"]), pa.array(rows["place"]), pa.array(met)], schema=_LIST)
-
+        long = rows["place"] < 0
+        left = partnered(rows, edge, np.diff(np.append(edge, len(rows)))) & ~long
+        pairs, left[left] = hub_pairs(rows[left], hubs)
+        rows["place"][long] = -1 - rows["place"][long]
+        none = pa.nulls(len(rows), pa.int64())
+        columns = [np.ascontiguousarray(rows["key"]).view(np.int64), rows["doc"], rows["size"], rows["place"], long, left | long, none]
+        met = [pa.nulls(len(pairs), f.type) for f in _LIST]
+        met[1], met[-1] = pa.array(pairs[:, 0]), pa.array(pairs[:, 1])
+        return pa.Table.from_batches([arrow_rows(_LIST, [c if c is none else pa.array(c) for c in columns]), arrow_rows(_LIST, met)])
+
+    hubs = HUBS
     packed = docs.mapInArrow(post, "part int, n int, rows binary")
-    made = packed.groupBy("part").applyInArrow(gather, "key bigint, doc bigint, size int, place int, met boolean")
-    return made.withColumn("place", F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")))
+    return packed.groupBy("part").applyInArrow(gather, "key bigint, doc bigint, size int, place int, hot boolean, open boolean, hub bigint")
 
 
 # --- links ---------------------------------------------------------------------------------------------
@@ -302,7 +356,7 @@ def _near_classes(classed: DataFrame) -> DataFrame:
 
 
 def _hub_pairs(lists: DataFrame) -> DataFrame:
-    """Every member of a list with the list's hubs of its own and the neighbouring size class."""
+    """Every member of a list with the list's hubs of its own and the neighbouring size class, as ``hub_pairs``, for lists of any length."""
     classed = _classed(lists)
     first = Window.partitionBy("key", "class").orderBy(F.xxhash64("doc"), "doc")
     hubs = classed.withColumn("n", F.row_number().over(first)).where(F.col("n") <= HUBS).drop("n").alias("y")
@@ -310,10 +364,12 @@ def _hub_pairs(lists: DataFrame) -> DataFrame:
 
 
 def _opened(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """The lists that hold several components, with the component of every member."""
-    known = lists.drop("component").join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    apart = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    return stored(known.join(apart, "key").select("key", "doc", "size", "place", "component"), "join_open")
+    """The lists that hold several components: every member with its component, and whether that is another than the list's largest."""
+    posts = lists.select("key", "doc", "size", "place")
+    known = posts.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    groups = known.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    apart = groups.groupBy("key").agg(F.count(F.lit(1)).alias("groups"), F.max_by("component", F.struct("n", "component")).alias("main")).where("groups > 1")
+    return stored(known.join(apart, "key").select("key", "doc", "size", "place", "component", F.expr("component <> main").alias("outside")), "join_open")
 
 
 def _open_pairs(opened: DataFrame, seed: int = 0, leaders: int | None = None) -> DataFrame:
@@ -322,9 +378,7 @@ def _open_pairs(opened: DataFrame, seed: int = 0, leaders: int | None = None) ->
     With ``leaders``, of every size class only so many members, the first by a hash: as all lists
     take the same order, a member meets the same few leaders in them. Else all members.
     """
-    groups = opened.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = groups.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    outside, others, keys = opened.join(main, "key").where("component <> main").drop("main"), opened, ["key"]
+    outside, others, keys = opened.where("outside"), opened, ["key"]
     if leaders is not None:
         keys = ["key", "class"]
         order = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), "doc"), "doc")
@@ -333,12 +387,17 @@ def _open_pairs(opened: DataFrame, seed: int = 0, leaders: int | None = None) ->
     return _pairs(outside.alias("x").join(others.alias("y"), keys).where(_can_link("x", "y") & F.expr("x.component <> y.component")))
 
 
-def _likely(pairs: DataFrame, keys: DataFrame, light: int) -> DataFrame:
+def _likely(pairs: DataFrame, posts: DataFrame, light: int) -> DataFrame:
     """The pairs whose prefixes share enough keys to link at all; sets up to ``light`` are small and all stay.
 
     All common shingles up to the earlier of two prefix ends stand in both prefixes, and behind
-    that end the set whose prefix it is has less than ``needed`` shingles left.
+    that end the set whose prefix it is has less than ``needed`` shingles left. Only the keys of
+    documents in a pair are gathered, if these are few enough to be known to every task.
     """
+    ids = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+    n = ids.count()
+    wanted = posts.join(F.broadcast(ids), "doc", "left_semi") if n <= BROADCAST_ROWS else posts
+    keys = wanted.groupBy("doc").agg(F.collect_list("key").alias("keys"), F.min("size").alias("least"), F.max("size").alias("most"))
     a = keys.select(F.col("doc").alias("a"), F.col("keys").alias("x"), F.col("least").alias("xl"), F.col("most").alias("xm"))
     b = keys.select(F.col("doc").alias("b"), F.col("keys").alias("y"), F.col("least").alias("yl"), F.col("most").alias("ym"))
     common = F.size(F.array_intersect("x", "y"))
@@ -396,17 +455,21 @@ def link(docs: DataFrame) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // (4 * LIST_ROWS) + 1)
     light = boundary(mean_list)
     lists = stored(_lists(docs, level, hot, light, parts), "join_lists")
-    keys = lists.groupBy("doc").agg(F.collect_list("key").alias("keys"), F.min("size").alias("least"), F.max("size").alias("most"))
+    posts = lists.where("hub is null").drop("hub")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        likely = stored(_likely(pairs, keys, light), "join_likely")
+        likely = stored(_likely(pairs, posts, light), "join_likely")
+        if likely.isEmpty():
+            return likely
         ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
         return stored(_linked(likely, stored(_arrays(docs, ids), "join_sets")), "join_links")
 
-    able = lists.where("met").drop("met")
-    tested = stored(_hub_pairs(able), "join_pairs")
+    met = lists.where("hub is not null").select(F.col("doc").alias("a"), F.col("hub").alias("b"))
+    if hot.any():
+        met = met.union(_hub_pairs(posts.where("hot")))
+    tested = stored(met.distinct(), "join_pairs")
     edges = verified(tested)
-    opened = _opened(able, components(edges))
+    opened = _opened(posts.where("open"), components(edges))
     for seed, leaders in enumerate(LEADERS):
         led = stored(_open_pairs(opened, seed, leaders).join(tested, ["a", "b"], "left_anti"), "join_led")
         if led.isEmpty():

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -119,6 +120,63 @@ def test_open_pairs_after_few_hubs(spark, monkeypatch):
     assert got == brute.set_components(rows)[1]
 
 
+def test_short_lists_are_not_opened(spark, monkeypatch):
+    """Members of a short list all meet its hubs in the task that holds it; only longer lists are searched again, and only for keys of their pairs."""
+    opened, plain = [], setjoin._opened
+
+    def counted(lists, labels):
+        opened.append(lists.count())
+        return plain(lists, labels)
+
+    monkeypatch.setattr(setjoin, "_opened", counted)
+    pick, rows = random.Random(4), []
+    for base in range(30):
+        text = [f"w{base}_{i}" for i in range(40)]
+        for _ in range(3):
+            rows.append((len(rows), " ".join(text)))
+            text[pick.randrange(40)] = f"x{len(rows)}"
+    got = {r.doc_id: r.component_id for r in setjoin.link(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute.set_components(rows)[1]
+    assert opened[0] == 0
+
+
+@pytest.mark.parametrize("hubs", [1, 3])
+def test_hub_pairs_equal_a_plain_version(hubs):
+    pick = random.Random(hubs)
+    rows = np.array(sorted((pick.randrange(60), pick.randrange(500), pick.choice([1, 4, 40, 50, 60, 90]), 0) for _ in range(400)), setjoin._POST)
+    got, left = setjoin.hub_pairs(rows, hubs)
+    kind = np.floor(np.log(rows["size"]) / (setjoin.CLASSES * 1.001)).astype(int)
+    order = setjoin.mix(rows["doc"].view(np.uint64))
+    want, is_hub = set(), np.zeros(len(rows), bool)
+    for key, k in {(a, b) for a, b in zip(rows["key"].tolist(), kind.tolist())}:
+        members = np.flatnonzero((rows["key"] == key) & (kind == k))
+        is_hub[members[np.lexsort((rows["doc"][members], order[members]))[:hubs]]] = True
+    for i, x in enumerate(rows):
+        for j, y in enumerate(rows):
+            a, b = int(min(x["size"], y["size"])), int(max(x["size"], y["size"]))
+            if x["key"] == y["key"] and x["doc"] != y["doc"] and is_hub[j] and abs(kind[i] - kind[j]) <= 1 and 4 * a >= 3 * b and 7 * (1 + a) >= 3 * (a + b):
+                want.add((int(min(x["doc"], y["doc"])), int(max(x["doc"], y["doc"]))))
+    assert {tuple(p) for p in got.tolist()} == want and len(got) == len(want)
+    assert left.tolist() == [int((~is_hub[rows["key"] == x["key"]]).sum()) > 1 for x in rows]
+
+
+def test_levels_hold_little_beside_the_counters():
+    """The driver's memory for the levels is bounded by a few times that of the counters, with the levels of the plain formula."""
+    cells = np.random.default_rng(5).poisson(30, setjoin.CELLS).astype(np.uint32)
+    cells[::1000] = 5_000
+    cells[7] = 300_000
+    tracemalloc.start()
+    level, hot, mean = setjoin.leveled(cells)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    noise = float(np.median(cells))
+    over = np.maximum(cells - noise, 0.0)
+    bar = 4 * max(1.0, noise**0.5)
+    assert np.array_equal(level, np.floor(np.where(over > bar, 1 + np.log2(np.maximum(over / bar, 1.0)), 0.0)).astype(np.uint8))
+    assert np.flatnonzero(hot).tolist() == [7] and mean == pytest.approx((over**2).sum() / cells.sum())
+    assert most < 40 << 20
+
+
 # --- tokens -----------------------------------------------------------------------------------------
 
 
