@@ -208,6 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     found = found.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "tie").limit(2 * sample).select("toxic", "words", "n").toArrow().combine_chunks()
     toxic, cut = found.column("toxic").to_pylist(), _counters(found.column("words").combine_chunks(), found.column("n").combine_chunks())
     del found
+    pa.default_memory_pool().release_unused()  # the driver keeps counters only; the pool would hold on to the pages of the rows
     order = sorted(range(len(toxic)), key=lambda i: toxic[i])  # classes apart, so that each is halved
     return fit_windows([cut[i] for i in order], [toxic[i] for i in order], odds=log_odds(n.get(1, 0), n.get(0, 0)))
 
