@@ -1,6 +1,6 @@
 """Second-order factorisation machine for a 0/1 label, fitted on all rows by adaptive moments.
 
-Rows are packed once into blocks of plain numbers, which stay in memory. A step is one pass: every
+Rows are packed once into blocks of plain numbers, coded where they are few, which stay in memory. A step is one pass: every
 task sums the gradient of the log loss over its blocks; the driver adds one short row of sums a task,
 as many numbers as there are coefficients. The model is Spark ML's own, with its start, steps and end.
 """
@@ -18,6 +18,8 @@ from pyspark.ml.linalg import DenseMatrix, DenseVector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sessionrank.operators.packed import coded, uncoded
+
 INITIAL = 0.01  # deviation of the first factors
 FIRST, SECOND, TINY = 0.9, 0.999, 1e-8  # moments of the steps
 TOLERANCE = 1e-6
@@ -34,17 +36,16 @@ def block_sums(x: np.ndarray, y: np.ndarray, intercept: float, linear: np.ndarra
 
 
 def packed(train: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """One row a batch: its features row by row, and its labels."""
+    """One row a batch: its features one after another, and its labels; numbers of few values take a byte each."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                x = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(len(features))], axis=1)
-                y = batch.column(len(features)).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(x).tobytes()]), pa.array([np.ascontiguousarray(y).tobytes()])], names=["x", "y"])
+                *x, y = (coded(batch.column(c).to_numpy(zero_copy_only=False)) for c in range(len(features) + 1))
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.list_(pa.binary())), pa.array([y], pa.binary())], names=["x", "y"])
 
     rows = train.select(*[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(features)], F.col(label).cast("double").alias("y"))
-    return rows.mapInArrow(run, "x binary, y binary")
+    return rows.mapInArrow(run, "x array<binary>, y binary")
 
 
 def gradient(blocks: DataFrame, w: np.ndarray, size: int, k: int) -> tuple[np.ndarray, float]:
@@ -55,8 +56,8 @@ def gradient(blocks: DataFrame, w: np.ndarray, size: int, k: int) -> tuple[np.nd
         sums, n = np.zeros(len(w)), 0
         for batch in batches:
             for a, b in zip(batch.column(0), batch.column(1)):
-                y = np.frombuffer(b.as_buffer())
-                sums += block_sums(np.frombuffer(a.as_buffer()).reshape(len(y), size), y, intercept, linear, factors)
+                x, y = np.stack([uncoded(v.as_buffer()) for v in a.values], axis=1), uncoded(b.as_buffer())
+                sums += block_sums(x, y, intercept, linear, factors)
                 n += len(y)
         yield pa.RecordBatch.from_arrays([pa.array([np.append(sums, n).tobytes()])], names=["v"])
 
